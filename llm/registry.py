@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from llm import bpe, chat, rollup
+from llm import bpe, chat, language, quality, rollup, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op4_chat_format": chat.op4_chat_format,
     "op5_bpe": bpe.op5_bpe,
+    "op6_language": language.op6_language,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_rollup": rollup.op10_token_rollup,
 }
 SQL = {"op4_chat_format": chat.OP4_SQL, "op10_token_rollup": rollup.OP10_SQL}
