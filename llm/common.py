@@ -42,14 +42,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared checkpoint folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """The same rows, computed once, written as Parquet in the shared folder and read from there.
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, written as compressed Parquet in the shared folder and read again."""
+    Unlike checkpoint() this runs the plan once, is compressed, and lets later
+    plans read only the columns they need.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from llm import bpe, chat, language, quality, rollup, toxicity
+from llm import binary_ids, bpe, chat, hamming, language, quality, rollup, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op4_chat_format": chat.op4_chat_format,
     "op5_bpe": bpe.op5_bpe,
     "op6_language": language.op6_language,
+    "op7_hamming_topk": hamming.op7_hamming_topk,
+    "op8_binary_ids": binary_ids.op8_binary_ids,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_rollup": rollup.op10_token_rollup,
 }
-SQL = {"op4_chat_format": chat.OP4_SQL, "op10_token_rollup": rollup.OP10_SQL}
+SQL = {"op4_chat_format": chat.OP4_SQL, "op7_hamming_topk": hamming.OP7_SQL, "op10_token_rollup": rollup.OP10_SQL}
