@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from llm import binary_ids, bpe, chat, hamming, language, near_dedup, quality, rollup, toxicity
+from llm import binary_ids, bpe, chat, decontaminate, hamming, language, near_dedup, quality, rollup, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_bagminhash": near_dedup.op3_bagminhash,
     "op4_chat_format": chat.op4_chat_format,
     "op5_bpe": bpe.op5_bpe,
