@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +56,25 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def growing_joins(spark: SparkSession, arrow_rows: int = 1000) -> Iterator[None]:
+    """For the jobs inside: no side of a join is broadcast by its size, so that plans are the same for small and
+    large tables, and Python gets batches of few rows, since a row may hold a long text or a whole multiset."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(arrow_rows),
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for a fifth of the ids; a null id counts as held out, so nothing is learned from it."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

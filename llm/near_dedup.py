@@ -16,14 +16,17 @@ next point is later than all components' values so far.
 Texts with equal multisets are one class from the start. Of the others, the
 signatures are cut into BANDS bands of ROWS values, and texts that share a
 band meet in a bucket. A bucket's leader (the text that meets others most
-often) is compared with the rest; texts that stay apart from it are
-compared with further leaders, twice as many each round, until all members of
-every bucket are linked or told apart. Similarity is verified on whole
-multisets. A text at 0.6 or more but under 0.8 from a leader could still be
-linked to a follower of that leader (1 - J is a metric: one under 0.6 can not);
-if the two are still in different classes at the end, it is compared with the
-followers too. So no link between texts that share a bucket is lost, and a
-group of copies costs about one comparison a copy.
+often) is compared with the rest on whole multisets; texts far from it
+(similarity under NEAR) wait for further leaders, twice as many each round,
+until all are near to one. Two texts near one leader are compared only where
+they can be linked. Of linked texts x and y at least 4/9 (|x| + |y|) shingles
+are shared; what x shares with the leader L bounds what x and y share within
+L, so if that is too little for x or for y, they share a shingle that L has
+not. So texts that are not linked to L meet again in buckets of one shingle
+they have and L has not, and so on; and the few pairs of which both share
+enough with L (the other text is shorter than L) are compared directly. Thus no
+link between texts that share a bucket is lost, and a group of copies costs
+about one comparison a copy, wherever its similarities lie.
 
 Texts that share a similarity of 0.8 share no bucket with a chance of
 (1 - 0.8^6)^32 = 0.00006.
@@ -45,13 +48,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import cut, table
+from llm.common import cut, growing_joins, table
 from llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Shingles whose signatures are made side by side.
-BLOCK = 300_000
+BLOCK = 150_000
+#: Similarity from which on a text is near a leader.
+NEAR = 0.4
 #: Pairs of one leader that are compared in one task at most.
 SALTED_AT = 500
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -157,13 +162,18 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, content string, bands array<long>")
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Jaccard similarity of two multisets."""
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Shingles that two multisets share."""
     if not len(a[0]) or not len(b[0]):
-        return 0.0
+        return 0
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    shared = np.minimum(a[1][i], b[1][j]).sum()
-    return float(shared / (a[1].sum() + b[1].sum() - shared))
+    return int(np.minimum(a[1][i], b[1][j]).sum())
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Jaccard similarity of two multisets."""
+    shared = overlap(a, b)
+    return float(shared / max(1, a[1].sum() + b[1].sum() - shared))
 
 
 def multisets(documents: DataFrame, ids: DataFrame) -> DataFrame:
@@ -182,7 +192,10 @@ def multisets(documents: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity) of pairs (a, b). Leaders with many pairs are dealt out by a salt of b."""
+    """(a, b, similarity, shared, size, added) of pairs (a, b): shared shingles, shingles of b, and, if b is near a, those that a has not (or not so often).
+
+    Leaders with many pairs are dealt out by a salt of b.
+    """
     many = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / SALTED_AT).cast("int").alias("salts"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     leaders = sets.toDF("a", "hashes_a", "counts_a").join(many, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
@@ -190,19 +203,35 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
             out = []
-            for hashes_a, counts_a, hashes_b, counts_b in zip(*(c.to_pylist() for c in batch.columns[2:])):
-                if hashes_a not in held:
-                    held = {hashes_a: (np.frombuffer(hashes_a, "<u8"), np.frombuffer(counts_a, "<u4").astype(np.int64))}
-                out.append(similarity(held[hashes_a], (np.frombuffer(hashes_b, "<u8"), np.frombuffer(counts_b, "<u4").astype(np.int64))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
-
-    return both.select("a", "b", "hashes_a", "counts_a", "hashes_b", "counts_b").mapInArrow(run, "a long, b long, similarity double")
+            for hashes_a, counts_a, hashes_b, counts_b in zip(*batch.columns[2:]):  # views into the batch
+                a = np.frombuffer(hashes_a.as_buffer(), "<u8"), np.frombuffer(counts_a.as_buffer(), "<u4").astype(np.int64)
+                b = np.frombuffer(hashes_b.as_buffer(), "<u8"), np.frombuffer(counts_b.as_buffer(), "<u4").astype(np.int64)
+                shared = overlap(a, b)
+                size = int(b[1].sum())
+                near = shared / max(1, int(a[1].sum()) + size - shared)
+                added = None
+                if near >= NEAR:
+                    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+                    added = b[0][b[1] > np.where(a[0][at] == b[0], a[1][at], 0)].view(np.int64)
+                out.append((near, shared, size, added))
+            kinds = [pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "similarity", "shared", "size", "added"])
+
+    return both.select("a", "b", "hashes_a", "counts_a", "hashes_b", "counts_b").mapInArrow(run, "a long, b long, similarity double, shared long, size long, added array<long>")
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, class_id) for every row: the smallest doc_id of its class."""
+    with growing_joins(documents.sparkSession):
+        own, classes = _classes(documents, threshold)
+    labelled = own.join(classes.toDF("first", "label"), "first", "left")
+    return labelled.select("doc_id", F.coalesce("label", "first").alias("class_id"))
+
+
+def _classes(documents: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, first) of all rows, where first stands for equal multisets; (node, label) of linked ones."""
     prints = cut(fingerprints(documents), "fingerprints")
     # Equal multisets: one text stands for them.
     copies = cut(prints.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
@@ -213,53 +242,67 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataF
     met = singles.select("doc_id", F.explode("bands").alias("bucket"))
     shared = met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("bucket", "n")
     members = cut(met.join(shared, "bucket"), "members")
-    classes = _resolve(documents, members, threshold)
-    labelled = own.join(classes.toDF("first", "label"), "first", "left")
-    return labelled.select("doc_id", F.coalesce("label", "first").alias("class_id"))
+    return cut(own, "own"), _resolve(documents, members, threshold)
 
 
 def _resolve(documents: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(node, label) of all texts with a link; members: (doc_id, bucket, n)."""
     weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     sets = multisets(documents, weight.select("doc_id"))
-    rest = cut(members.join(weight, "doc_id").select("bucket", "doc_id", "weight"), "rest")
-    everyone = rest
-    tested, labels, leaders = None, None, 1
+    meeting = cut(members.select("bucket", "doc_id").join(weight, "doc_id").select("bucket", "doc_id", "weight"), "meeting")
+    tested, labels = None, None
     while True:
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "doc_id"))
-        led = rest.withColumn("place", place).where(F.col("place") <= leaders).select("bucket", F.col("doc_id").alias("a"), F.col("place").alias("place_a"))
-        pairs = rest.join(led, "bucket").where(F.col("a") != F.col("doc_id")).select("a", F.col("doc_id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        new = cut(verified(cut(pairs, "pairs"), sets), "verified")
+        new, met = _compare(meeting, sets, tested)
         tested = new if tested is None else tested.unionByName(new)
         labels = components(tested.where(F.col("similarity") >= threshold))
-        # What is in no leader's class goes on, if it is not alone.
-        named = rest.join(labels, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", "weight", F.coalesce("label", "doc_id").alias("label"))
-        leading = led.join(labels, F.col("a") == F.col("node"), "left").select("bucket", F.coalesce("label", "a").alias("label")).distinct()
-        apart = cut(named.join(leading, ["bucket", "label"], "left_anti"), "apart")
-        several = apart.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-        rest = cut(apart.drop("label").join(several, "bucket", "left_semi"), "rest")
-        leaders *= 2
-        if not rest.isEmpty():
-            continue
-        # Texts just under the threshold from a leader meet its followers, where the classes still differ.
-        node = lambda x, to: labels.select(F.col("node").alias(x), F.col("label").alias(to))
-        under = tested.where((F.col("similarity") < threshold) & (F.col("similarity") >= 2 * threshold - 1))
-        under = under.join(node("a", "la"), "a", "left").join(node("b", "lb"), "b", "left")
-        under = cut(under.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")).where("la <> lb"), "under")
-        if under.isEmpty():
-            return labels
-        sides = under.select(F.col("b").alias("x"), F.col("la").alias("label")).union(under.select(F.col("a").alias("x"), F.col("lb").alias("label"))).distinct()
-        followers = everyone.join(node("doc_id", "label"), "doc_id").select("bucket", F.col("doc_id").alias("y"), "label")
-        where = everyone.select("bucket", F.col("doc_id").alias("x")).join(sides, "x")
-        more = where.join(followers, ["bucket", "label"]).select("x", "y").where("x <> y").distinct().toDF("a", "b")
-        known = tested.select("a", "b").union(tested.select("b", "a"))
-        more = cut(more.join(known, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
+        meeting = cut(_meet_again(tested.join(met, ["a", "b"], "left_semi"), labels, threshold), "meeting")
+        if meeting.isEmpty():
             return labels
-        tested = tested.unionByName(cut(verified(more, sets), "verified"))
-        return components(tested.where(F.col("similarity") >= threshold))
+
+
+def _compare(meeting: DataFrame, sets: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Compares leaders with members of buckets (bucket, doc_id, weight), until every member is near a leader of its bucket or is one.
+
+    The pairs verified here, and all pairs (a, b) of leaders and members, which may have been verified before.
+    """
+    rest, leaders, results, meetings = meeting, 1, None, None
+    while True:
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "doc_id"))
+        led = rest.withColumn("place", place).where(F.col("place") <= leaders).select("bucket", F.col("doc_id").alias("a"))
+        met = cut(meeting.join(led, "bucket").where(F.col("a") != F.col("doc_id")).select("bucket", "a", F.col("doc_id").alias("b")), "met")
+        meetings = met.select("a", "b") if meetings is None else meetings.unionByName(met.select("a", "b"))
+        pairs = met.select("a", "b").distinct()
+        known = [x.select("a", "b", "similarity") for x in (tested, results) if x is not None]
+        for x in known:
+            pairs = pairs.join(x, ["a", "b"], "left_anti")
+        new = cut(verified(cut(pairs, "pairs"), sets), "verified")
+        results = new if results is None else results.unionByName(new)
+        every = results.select("a", "b", "similarity") if tested is None else results.select("a", "b", "similarity").unionByName(tested.select("a", "b", "similarity"))
+        near = met.join(every.where(F.col("similarity") >= NEAR), ["a", "b"], "left_semi").select("bucket", F.col("b").alias("doc_id"))
+        settled = near.unionByName(led.select("bucket", F.col("a").alias("doc_id")))
+        rest = cut(rest.join(settled, ["bucket", "doc_id"], "left_anti"), "rest")
+        if rest.isEmpty():
+            return results, meetings
+        leaders *= 2
+
+
+def _meet_again(pairs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, doc_id, weight): buckets of texts near one leader that may be linked to each other though not through it."""
+    least = threshold / (1 + threshold)  # linked texts share this part of their shingles' sum
+    near = pairs.where(F.col("similarity") >= NEAR).join(labels.select(F.col("node").alias("b"), "label"), "b", "left")
+    near = cut(near.select("a", "b", "similarity", "shared", "size", "added", F.coalesce("label", "b").alias("label")), "near")
+    apart = F.col("similarity") < threshold
+    # By a shingle that both have and the leader has not; at least one of them is not linked to the leader.
+    shingles = near.select("a", "b", "label", apart.alias("apart"), F.explode("added").alias("shingle"))
+    groups = shingles.groupBy("a", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("apart").alias("apart"), F.count("*").alias("n")).where("low < high AND apart").select("a", "shingle", "n")
+    again = shingles.join(groups, ["a", "shingle"]).select(F.xxhash64("a", "shingle").alias("bucket"), F.col("b").alias("doc_id"), F.col("n").alias("weight"))
+    # Or of both so much is shared with the leader that no such shingle is needed.
+    shortest = near.groupBy("a").agg(F.min("size").alias("shortest"))
+    longer = near.join(shortest, "a").where(apart & (F.col("shared") >= least * (F.col("size") + F.col("shortest"))))
+    longer = longer.select("a", F.col("b").alias("x"), F.col("label").alias("lx"), F.col("shared").alias("sx"), F.col("size").alias("zx"))
+    both = longer.join(near, "a").where((F.col("x") != F.col("b")) & (F.col("lx") != F.col("label")) & (F.least("sx", "shared") >= least * (F.col("zx") + F.col("size"))))
+    direct = both.select(F.xxhash64("x", "b").alias("bucket"), F.explode(F.array("x", "b")).alias("doc_id"), F.lit(1).cast("long").alias("weight"))
+    return again.unionByName(direct).distinct()
 
 
 def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,20 @@ def test_chains_and_odd_rows(spark):
     assert sorted((r["doc_id"], r["class_id"]) for r in twice if r["doc_id"]) == [(1, 1), (1, 1)] and len(twice) == 3
 
 
+def test_group_of_copies_around_the_threshold(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for at in rng.sample(range(0, 150, 10), rng.randint(1, 8)):
+            text[at] = rng.choice(("left", "right"))
+        rows.append((i, " ".join(text[rng.randint(0, 3) :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) > 1
+
+
 def test_dedup_stage_keeps_one_of_each(spark):
     rows = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (3, "other"), (None, "a"), (None, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
