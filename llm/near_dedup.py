@@ -15,18 +15,22 @@ next point is later than all components' values so far.
 
 Texts with equal multisets are one class from the start. Of the others, the
 signatures are cut into BANDS bands of ROWS values, and texts that share a
-band meet in a bucket. A bucket's leader (the text that meets others most
-often) is compared with the rest on whole multisets; texts far from it
-(similarity under NEAR) wait for further leaders, twice as many each round,
-until all are near to one. Two texts near one leader are compared only where
-they can be linked. Of linked texts x and y at least 4/9 (|x| + |y|) shingles
-are shared; what x shares with the leader L bounds what x and y share within
-L, so if that is too little for x or for y, they share a shingle that L has
-not. So texts that are not linked to L meet again in buckets of one shingle
-they have and L has not, and so on; and the few pairs of which both share
-enough with L (the other text is shorter than L) are compared directly. Thus no
-link between texts that share a bucket is lost, and a group of copies costs
-about one comparison a copy, wherever its similarities lie.
+band meet in a bucket. Each text is compared on whole multisets with its
+bucket's leader (the text that meets others most often); links make classes.
+What is left are texts of one bucket in different classes. Of up to SMALL
+texts all pairs between classes are compared. Larger groups are not:
+
+A group gets a centre C, the elements that over half of its texts have (the
+kth occurrence of a shingle is an element of its own). A text x differs from C
+by D(x), the elements of C that it misses and those that it adds. Then
+|x & y| = |C| - missing(x) - missing(y) + |D(x) & D(y)|. Either the first three
+terms are enough to link x and y; then both are linked to the text of which
+these terms leave most, and these links are taken from the counts. Or D(x) and
+D(y) share an element; then they meet again in the group of that element.
+Elements that so many others would have to be shared with are left out
+(prefix filter). An element's group is at most half its parent, so after
+log2(n / SMALL) rounds at most all groups are small. No link between texts
+that share a bucket is lost, and no group is expanded into all its pairs.
 
 Texts that share a similarity of 0.8 share no bucket with a chance of
 (1 - 0.8^6)^32 = 0.00006.
@@ -40,12 +44,13 @@ empty table gives an empty result; only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import cut, growing_joins, table
@@ -55,9 +60,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Shingles whose signatures are made side by side.
 BLOCK = 150_000
-#: Similarity from which on a text is near a leader.
-NEAR = 0.4
-#: Pairs of one leader that are compared in one task at most.
+#: Texts of a group of which all pairs between classes are compared.
+SMALL = 32
+#: Pairs with one leader or centre that are compared in one task at most.
 SALTED_AT = 500
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -162,64 +167,86 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, content string, bands array<long>")
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """Shingles that two multisets share."""
-    if not len(a[0]) or not len(b[0]):
+def elements(text: str | None) -> np.ndarray:
+    """Sorted hashes of a text's shingles, the kth occurrence of each as an element of its own; so multisets overlap as these sets do."""
+    hashes, counts = multiset(text)
+    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.sort((np.repeat(hashes, counts) + place.astype(np.uint64) * _GOLDEN).view(np.int64))
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    if not len(a) or not len(b):
         return 0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    return int(np.minimum(a[1][i], b[1][j]).sum())
+    return int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Jaccard similarity of two multisets."""
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of elements, thus of the multisets."""
     shared = overlap(a, b)
-    return float(shared / max(1, a[1].sum() + b[1].sum() - shared))
+    return float(shared / max(1, len(a) + len(b) - shared))
 
 
-def multisets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, hashes, counts) of the documents with the given ids; the texts are shuffled once, and only these kept."""
+def element_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, elements) of the documents with the given ids; the texts are shuffled once, and only these kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [multiset(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([h.astype("<u8").tobytes() for h, _ in sets], pa.binary()), pa.array([w.astype("<u4").tobytes() for _, w in sets], pa.binary())],
-                ["doc_id", "hashes", "counts"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([elements(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], ["doc_id", "elements"])
 
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id")
-    return cut(texts.mapInArrow(run, "doc_id long, hashes binary, counts binary"), "multisets")
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id").dropDuplicates(["doc_id"])
+    return cut(texts.mapInArrow(run, "doc_id long, elements array<long>"), "elements")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity, shared, size, added) of pairs (a, b): shared shingles, shingles of b, and, if b is near a, those that a has not (or not so often).
+def against(pairs: DataFrame, ones: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, one, other): for pairs (a, b) the elements of a in `ones` (a, elements), none if it is not there, and of b in `sets`.
 
-    Leaders with many pairs are dealt out by a salt of b.
+    What has many pairs is dealt out by a salt of b.
     """
-    many = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / SALTED_AT).cast("int").alias("salts"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALTED_AT).cast("int").alias("salts"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    leaders = sets.toDF("a", "hashes_a", "counts_a").join(many, "a").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    both = salted.join(sets.toDF("b", "hashes_b", "counts_b"), "b").join(leaders, ["a", "salt"])
+    held = many.join(ones.toDF("a", "one"), "a", "left").select("a", F.coalesce("one", F.array().cast("array<long>")).alias("one"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return salted.join(sets.toDF("b", "other"), "b").join(held, ["a", "salt"]).select("a", "b", "one", "other")
+
+
+def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Each list as a view into the batch."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+    return (values[i:j] for i, j in zip(at, at[1:]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose similarity is the threshold or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for hashes_a, counts_a, hashes_b, counts_b in zip(*batch.columns[2:]):  # views into the batch
-                a = np.frombuffer(hashes_a.as_buffer(), "<u8"), np.frombuffer(counts_a.as_buffer(), "<u4").astype(np.int64)
-                b = np.frombuffer(hashes_b.as_buffer(), "<u8"), np.frombuffer(counts_b.as_buffer(), "<u4").astype(np.int64)
-                shared = overlap(a, b)
-                size = int(b[1].sum())
-                near = shared / max(1, int(a[1].sum()) + size - shared)
-                added = None
-                if near >= NEAR:
-                    at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
-                    added = b[0][b[1] > np.where(a[0][at] == b[0], a[1][at], 0)].view(np.int64)
-                out.append((near, shared, size, added))
-            kinds = [pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "similarity", "shared", "size", "added"])
-
-    return both.select("a", "b", "hashes_a", "counts_a", "hashes_b", "counts_b").mapInArrow(run, "a long, b long, similarity double, shared long, size long, added array<long>")
+            linked = [similarity(a, b) >= threshold for a, b in zip(lists(batch.column(2)), lists(batch.column(3)))]
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return against(pairs, sets, sets).mapInArrow(run, "a long, b long")
+
+
+def differences(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, gain, differs) for each text b of a group a: gains of linked texts add up to 0 or more unless they share an element of `differs`."""
+    members = groups.select("bucket", "doc_id", "n").join(sets, "doc_id").select("bucket", "n", F.explode("elements").alias("element"))
+    counts = members.groupBy("bucket", "n", "element").agg(F.count("*").alias("have")).where(2 * F.col("have") > F.col("n"))
+    centres = cut(counts.groupBy("bucket").agg(F.sort_array(F.collect_list("element")).alias("elements")), "centres")
+    least = threshold / (1 + threshold)  # linked texts share this part of the sum of their sizes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gains, differs = [], []
+            for centre, own in zip(lists(batch.column(2)), lists(batch.column(3))):
+                other = np.setxor1d(centre, own, assume_unique=True)  # sorted
+                missing = len(centre) - overlap(centre, own)
+                gains.append(len(centre) - 2 * missing - 2 * least * len(own))
+                # So many elements of `other` at least are shared with any text that is linked through them.
+                needed = max(1, math.ceil(least * len(own) - (1 - least) * len(centre) + missing - 1e-9))
+                differs.append(other[: max(0, len(other) - needed + 1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gains, pa.float64()), pa.array(differs, pa.list_(pa.int64()))], ["a", "b", "gain", "differs"])
+
+    pairs = groups.select(F.col("bucket").alias("a"), F.col("doc_id").alias("b"))
+    return against(pairs, centres, sets).mapInArrow(run, "a long, b long, gain double, differs array<long>")
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -240,69 +267,59 @@ def _classes(documents: DataFrame, threshold: float) -> tuple[DataFrame, DataFra
         F.col("bands").isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce("stands", "doc_id") == F.col("doc_id"))
     )
     met = singles.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("bucket", "n")
-    members = cut(met.join(shared, "bucket"), "members")
+    members = cut(gathered(met.withColumn("label", F.col("doc_id"))), "members")
     return cut(own, "own"), _resolve(documents, members, threshold)
 
 
-def _resolve(documents: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(node, label) of all texts with a link; members: (doc_id, bucket, n)."""
-    weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    sets = multisets(documents, weight.select("doc_id"))
-    meeting = cut(members.select("bucket", "doc_id").join(weight, "doc_id").select("bucket", "doc_id", "weight"), "meeting")
-    tested, labels = None, None
-    while True:
-        new, met = _compare(meeting, sets, tested)
-        tested = new if tested is None else tested.unionByName(new)
-        labels = components(tested.where(F.col("similarity") >= threshold))
-        meeting = cut(_meet_again(tested.join(met, ["a", "b"], "left_semi"), labels, threshold), "meeting")
-        if meeting.isEmpty():
-            return labels
+def gathered(met: DataFrame) -> DataFrame:
+    """(bucket, doc_id, n, label) of the buckets of met (bucket, doc_id, label) that have several labels; of buckets of the same n texts one."""
+    same = ["n", "low", "high", "texts"]
+    buckets = (
+        met.groupBy("bucket")
+        .agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("texts"), F.min("label").alias("first"), F.max("label").alias("last"))
+        .where("first < last")
+    )
+    return met.join(buckets.groupBy(*same).agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "bucket").select("bucket", "doc_id", "n", "label")
 
 
-def _compare(meeting: DataFrame, sets: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Compares leaders with members of buckets (bucket, doc_id, weight), until every member is near a leader of its bucket or is one.
+def between(groups: DataFrame) -> DataFrame:
+    """(a, b) with a < b: pairs of texts of a group with different labels; groups have up to SMALL texts."""
+    both = groups.groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "label")).alias("texts")).select("texts", F.explode("texts").alias("x"))
+    pairs = both.select("x", F.explode("texts").alias("y")).where("x.doc_id < y.doc_id AND x.label <> y.label")
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
 
-    The pairs verified here, and all pairs (a, b) of leaders and members, which may have been verified before.
-    """
-    rest, leaders, results, meetings = meeting, 1, None, None
+
+def _resolve(documents: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(node, label) of all texts with a link; members: (bucket, doc_id, n, label)."""
+    weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    sets = element_sets(documents, weight.select("doc_id"))
+    leading = members.join(weight, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("most"))
+    leaders = cut(leading.select("bucket", (-F.col("most.minus")).alias("a")), "leaders")
+    led = members.join(leaders, "bucket")
+    links = cut(verified(led.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), sets, threshold), "links")
+    labels = components(links)
+
+    def labelled(met: DataFrame) -> DataFrame:
+        """With the label of each doc_id's class so far."""
+        return met.join(labels.toDF("doc_id", "known"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("known", "doc_id").alias("label"))
+
+    pairs = between(gathered(labelled(members.where(F.col("n") <= SMALL))))
+    # Texts that meet in large buckets of one leader are one group.
+    groups = cut(gathered(labelled(led.where(F.col("n") > SMALL).select(F.col("a").alias("bucket"), "doc_id").distinct())), "groups")
     while True:
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("weight"), "doc_id"))
-        led = rest.withColumn("place", place).where(F.col("place") <= leaders).select("bucket", F.col("doc_id").alias("a"))
-        met = cut(meeting.join(led, "bucket").where(F.col("a") != F.col("doc_id")).select("bucket", "a", F.col("doc_id").alias("b")), "met")
-        meetings = met.select("a", "b") if meetings is None else meetings.unionByName(met.select("a", "b"))
-        pairs = met.select("a", "b").distinct()
-        known = [x.select("a", "b", "similarity") for x in (tested, results) if x is not None]
-        for x in known:
-            pairs = pairs.join(x, ["a", "b"], "left_anti")
-        new = cut(verified(cut(pairs, "pairs"), sets), "verified")
-        results = new if results is None else results.unionByName(new)
-        every = results.select("a", "b", "similarity") if tested is None else results.select("a", "b", "similarity").unionByName(tested.select("a", "b", "similarity"))
-        near = met.join(every.where(F.col("similarity") >= NEAR), ["a", "b"], "left_semi").select("bucket", F.col("b").alias("doc_id"))
-        settled = near.unionByName(led.select("bucket", F.col("a").alias("doc_id")))
-        rest = cut(rest.join(settled, ["bucket", "doc_id"], "left_anti"), "rest")
-        if rest.isEmpty():
-            return results, meetings
-        leaders *= 2
-
-
-def _meet_again(pairs: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, doc_id, weight): buckets of texts near one leader that may be linked to each other though not through it."""
-    least = threshold / (1 + threshold)  # linked texts share this part of their shingles' sum
-    near = pairs.where(F.col("similarity") >= NEAR).join(labels.select(F.col("node").alias("b"), "label"), "b", "left")
-    near = cut(near.select("a", "b", "similarity", "shared", "size", "added", F.coalesce("label", "b").alias("label")), "near")
-    apart = F.col("similarity") < threshold
-    # By a shingle that both have and the leader has not; at least one of them is not linked to the leader.
-    shingles = near.select("a", "b", "label", apart.alias("apart"), F.explode("added").alias("shingle"))
-    groups = shingles.groupBy("a", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("apart").alias("apart"), F.count("*").alias("n")).where("low < high AND apart").select("a", "shingle", "n")
-    again = shingles.join(groups, ["a", "shingle"]).select(F.xxhash64("a", "shingle").alias("bucket"), F.col("b").alias("doc_id"), F.col("n").alias("weight"))
-    # Or of both so much is shared with the leader that no such shingle is needed.
-    shortest = near.groupBy("a").agg(F.min("size").alias("shortest"))
-    longer = near.join(shortest, "a").where(apart & (F.col("shared") >= least * (F.col("size") + F.col("shortest"))))
-    longer = longer.select("a", F.col("b").alias("x"), F.col("label").alias("lx"), F.col("shared").alias("sx"), F.col("size").alias("zx"))
-    both = longer.join(near, "a").where((F.col("x") != F.col("b")) & (F.col("lx") != F.col("label")) & (F.least("sx", "shared") >= least * (F.col("zx") + F.col("size"))))
-    direct = both.select(F.xxhash64("x", "b").alias("bucket"), F.explode(F.array("x", "b")).alias("doc_id"), F.lit(1).cast("long").alias("weight"))
-    return again.unionByName(direct).distinct()
+        pairs = cut(pairs.unionByName(between(groups.where(F.col("n") <= SMALL))), "pairs")
+        large = groups.where(F.col("n") > SMALL)
+        if large.isEmpty():
+            break
+        differ = cut(differences(large, sets, threshold), "differ")
+        most = differ.groupBy("a").agg(F.max(F.struct("gain", "b")).alias("most"))
+        enough = differ.join(most, "a").where((F.col("gain") + F.col("most.gain") >= -1e-9) & (F.col("b") != F.col("most.b")))
+        links = cut(links.unionByName(enough.select(F.col("most.b").alias("a"), "b")), "links")
+        labels = components(links)
+        again = differ.select(F.col("b").alias("doc_id"), F.explode("differs").alias("element"), "a").select(F.xxhash64("a", "element").alias("bucket"), "doc_id")
+        groups = cut(gathered(labelled(again)), "groups")
+    new = verified(pairs.distinct(), sets, threshold)
+    return components(links.unionByName(cut(new, "links")))
 
 
 def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
