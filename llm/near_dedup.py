@@ -26,9 +26,9 @@ by D(x), the elements of C that it misses and those that it adds. Then
 |x & y| = |C| - missing(x) - missing(y) + |D(x) & D(y)|. Either the first three
 terms are enough to link x and y; then both are linked to the text of which
 these terms leave most, and these links are taken from the counts. Or D(x) and
-D(y) share an element; then they meet again in the group of that element.
-Elements that so many others would have to be shared with are left out
-(prefix filter). An element's group is at most half its parent, so after
+D(y) share elements, and the more the less those terms leave; then x and y
+meet again in the group of one of these elements (prefix filter), unless they
+are of one class by then. An element's group is at most half its parent, so after
 log2(n / SMALL) rounds at most all groups are small. No link between texts
 that share a bucket is lost, and no group is expanded into all its pairs.
 
@@ -227,7 +227,9 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def differences(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, gain, differs) for each text b of a group a: gains of linked texts add up to 0 or more unless they share an element of `differs`."""
+    """(a, b, size, within, gain, more, less) for each text b of a group a: its size, the elements it shares with the
+    centre, its gain, the elements it adds and those it misses. Linked texts share at least minus half the sum of their
+    gains of elements that they add or miss."""
     members = groups.select("bucket", "doc_id", "n").join(sets, "doc_id").select("bucket", "n", F.explode("elements").alias("element"))
     counts = members.groupBy("bucket", "n", "element").agg(F.count("*").alias("have")).where(2 * F.col("have") > F.col("n"))
     centres = cut(counts.groupBy("bucket").agg(F.sort_array(F.collect_list("element")).alias("elements")), "centres")
@@ -235,18 +237,41 @@ def differences(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gains, differs = [], []
+            sizes, withins, gains, more, less = [], [], [], [], []
             for centre, own in zip(lists(batch.column(2)), lists(batch.column(3))):
-                other = np.setxor1d(centre, own, assume_unique=True)  # sorted
-                missing = len(centre) - overlap(centre, own)
-                gains.append(len(centre) - 2 * missing - 2 * least * len(own))
-                # So many elements of `other` at least are shared with any text that is linked through them.
-                needed = max(1, math.ceil(least * len(own) - (1 - least) * len(centre) + missing - 1e-9))
-                differs.append(other[: max(0, len(other) - needed + 1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gains, pa.float64()), pa.array(differs, pa.list_(pa.int64()))], ["a", "b", "gain", "differs"])
+                more.append(np.setdiff1d(own, centre, assume_unique=True))
+                less.append(np.setdiff1d(centre, own, assume_unique=True))
+                sizes.append(len(own))
+                withins.append(len(own) - len(more[-1]))
+                gains.append(len(centre) - 2 * len(less[-1]) - 2 * least * len(own))
+            kinds = {"size": pa.int64(), "within": pa.int64(), "gain": pa.float64(), "more": pa.list_(pa.int64()), "less": pa.list_(pa.int64())}
+            columns = [pa.array(c, k) for c, k in zip((sizes, withins, gains, more, less), kinds.values())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", *kinds])
 
     pairs = groups.select(F.col("bucket").alias("a"), F.col("doc_id").alias("b"))
-    return against(pairs, centres, sets).mapInArrow(run, "a long, b long, gain double, differs array<long>")
+    return against(pairs, centres, sets).mapInArrow(run, "a long, b long, size long, within long, gain double, more array<long>, less array<long>")
+
+
+def meet_again(differ: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, doc_id): texts of a group that may be linked to one of another label share a bucket.
+
+    differ: differences() with labels. A text has to share `needed` elements of
+    those it adds or misses, since the gain of a text of another label is at
+    most `rival`; and `added` of those it adds, since what it shares within the
+    centre is at most `within`. Of each sorted list all but the last needed - 1
+    are given (prefix filter); those it misses only if `added` is under one.
+    """
+    by_label = differ.groupBy("a", "label").agg(F.max("gain").alias("gain"))
+    tops = by_label.groupBy("a").agg(F.max(F.struct("gain", "label")).alias("top"))
+    seconds = by_label.join(tops, "a").where("label <> top.label").groupBy("a", "top").agg(F.max("gain").alias("second"))
+    rival = F.when(F.col("label") == F.col("top.label"), F.col("second")).otherwise(F.col("top.gain"))
+    needed = F.greatest(F.lit(1), F.ceil(-(F.col("gain") + rival) / 2 - 1e-9))
+    added = F.ceil(threshold * F.col("size") - F.col("within") - 1e-9)
+    prefix = lambda x, least: F.slice(x, F.lit(1), F.greatest(F.lit(0), F.size(x) - least + 1).cast("int"))
+    adds = F.when(F.size("more") + F.size("less") >= needed, prefix(F.col("more"), F.greatest(F.lit(1), added)))
+    both = F.when(added < 1, prefix(F.sort_array(F.concat("more", "less")), needed)).otherwise(F.array().cast("array<long>"))
+    kept = differ.join(seconds, "a").select("a", "b", F.explode(F.array_union(adds, both)).alias("element"))
+    return kept.select(F.xxhash64("a", "element").alias("bucket"), F.col("b").alias("doc_id"))
 
 
 def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -316,7 +341,8 @@ def _resolve(documents: DataFrame, members: DataFrame, threshold: float) -> Data
         enough = differ.join(most, "a").where((F.col("gain") + F.col("most.gain") >= -1e-9) & (F.col("b") != F.col("most.b")))
         links = cut(links.unionByName(enough.select(F.col("most.b").alias("a"), "b")), "links")
         labels = components(links)
-        again = differ.select(F.col("b").alias("doc_id"), F.explode("differs").alias("element"), "a").select(F.xxhash64("a", "element").alias("bucket"), "doc_id")
+        known = differ.join(labels.toDF("b", "known"), "b", "left").withColumn("label", F.coalesce("known", "b")).drop("known")
+        again = meet_again(cut(known, "known"), threshold)
         groups = cut(gathered(labelled(again)), "groups")
     new = verified(pairs.distinct(), sets, threshold)
     return components(links.unionByName(cut(new, "links")))
