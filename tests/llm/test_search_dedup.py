@@ -147,6 +147,21 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0 and decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_long_items(spark):
+    """Long items don't take the directions of other items, and the last words of a cut item are no item."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    words = [rng.choices(vocabulary, k=n) for n in (12, 300, 500) for _ in range(12)]
+    tail = rng.choices(vocabulary, k=decontaminate.LONGEST + 3)
+
+    def pairs(texts, items):
+        frames = [spark.createDataFrame(list(enumerate(" ".join(w) for w in ws)), f"{c} long, text string") for c, ws in (("doc_id", texts), ("item_id", items))]
+        return sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(*frames).collect())
+
+    assert pairs([rng.choices(vocabulary, k=100) + w + rng.choices(vocabulary, k=100) for w in words], words) == [(k, k) for k in range(len(words))]
+    assert pairs([tail[-3:], tail], [tail]) == [(1, 0)]
+
+
 def test_lcs():
     assert decontaminate.lcs("a b c d".split(), "x a c y d".split()) == 3 and decontaminate.lcs(["a"], []) == 0
 
