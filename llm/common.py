@@ -1,15 +1,15 @@
-"""Reading tables, shared folders, lineage cuts and the held-out fold."""
+"""Reading tables, shared folders and lineage cuts (from statuta.shared), and the held-out fold."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statuta.shared import cut, shared_path, shared_root  # noqa: F401
+
 #: A document is held out when crc32 of its id, as text, leaves no remainder.
 FOLDS = 5
 
@@ -18,44 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir. Only where that is unset a
-    folder is chosen here: a temporary one if everything runs in one process,
-    and one below the warehouse otherwise.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        root = getattr(sc, "_own_shared_root", None)
-    if root is None:
-        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-            root = "file://" + tempfile.mkdtemp(prefix="shared-")
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-        sc._own_shared_root = root
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """The same rows, computed once, written as Parquet in the shared folder and read from there.
-
-    Unlike checkpoint() this runs the plan once, is compressed, and lets later
-    plans read only the columns they need.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def growing_joins(spark: SparkSession, arrow_rows: int = 1000) -> Iterator[None]:
     """For the jobs inside: no side of a join is broadcast by its size, so that plans are the same for small and

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statuta.shared import cut
+
 ARTICLE_KEY = ("law_name", "article_no", "content_hash")
 
 
@@ -21,19 +23,20 @@ def insert_status(batch: DataFrame, store: DataFrame, key: tuple[str, ...] = ART
 
 
 def inserted(status: DataFrame, next_id: int, order: str = "position") -> DataFrame:
-    """The inserted rows with ids from next_id on, in order; ids come from sorted ranges and their counts, not from one sorted partition."""
-    rows = status.where(F.col("status") == "inserted").drop("status").repartitionByRange(order).sortWithinPartitions(order)
-    spark = rows.sparkSession
-    sizes = rows.groupBy(F.spark_partition_id().alias("part")).count().orderBy("part").collect()  # a row for each range
+    """The inserted rows with ids from next_id on, in order; ids come from ranges and their counts, not from one sorted partition.
+
+    The rows are written once with the number of their range: another plan over
+    them, such as the counts alone, could be dealt into other partitions.
+    """
+    rows = status.where(F.col("status") == "inserted").drop("status").repartitionByRange(order)
+    rows = cut(rows.withColumn("part", F.spark_partition_id()), "inserted")
     offsets, total = [], next_id
-    for r in sizes:
+    for r in rows.groupBy("part").count().orderBy("part").collect():  # a row for each range
         offsets.append((r["part"], total))
         total += r["count"]
-    if not offsets:
-        return rows.withColumn("id", F.lit(None).cast("long"))
-    base = F.broadcast(spark.createDataFrame(offsets, "part int, base long"))
+    base = F.broadcast(rows.sparkSession.createDataFrame(offsets, "part int, base long"))
     within = F.row_number().over(Window.partitionBy("part").orderBy(order))
-    return rows.withColumn("part", F.spark_partition_id()).join(base, "part").withColumn("id", F.col("base") + within - 1).drop("part", "base")
+    return rows.withColumn("within", within).join(base, "part").withColumn("id", F.col("base") + F.col("within") - 1).drop("part", "base", "within")
 
 
 def supersede(articles: DataFrame) -> DataFrame:

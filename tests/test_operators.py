@@ -118,6 +118,22 @@ def test_store(spark):
     assert (left.count(), n) == (0, 1)
     with pytest.raises(LookupError):
         store.delete(documents, "f.pdf", "you")
+
+
+def test_inserted_ids_of_many_ranges(spark):
+    """Ranges that adaptive execution merges by their bytes differ between a plan of the keys alone and one of whole rows."""
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        for k, v in zip(keys, ("16", "128k", "128k")):
+            spark.conf.set(k, v)
+        status = spark.range(60_000).select(F.col("id").alias("position"), F.sha2(F.col("id").cast("string"), 512).alias("h"), F.when(F.col("id") % 7 == 0, "skipped").otherwise("inserted").alias("status"))
+        rows = sorted((r["position"], r["id"]) for r in store.inserted(status.repartition(8), 1000).select("position", "id").collect())
+        assert rows == [(p, 1000 + k) for k, p in enumerate(p for p in range(60_000) if p % 7)]
+        assert store.inserted(status.limit(0), 1000).columns == ["position", "h", "id"]
+    finally:
+        for k, v in zip(keys, before):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     files = spark.createDataFrame([("a.PDF", 5, "x"), ("a.txt", 5, "x"), ("b.pdf", 50, "x"), ("c.pdf", 5, " ")], "path string, length int, text string")
     assert [r["reject_code"] for r in store.guard_upload(files, 10).collect()] == [None, 400, 413, 422]
     rows = spark.createDataFrame([(1, None), (2, None), (3, [1.0, 2.0]), (4, None)], "id long, embedding array<float>")
