@@ -162,6 +162,26 @@ def test_decontamination_of_long_items(spark):
     assert pairs([tail[-3:], tail], [tail]) == [(1, 0)]
 
 
+def test_decontamination_of_new_words_and_short_items(spark):
+    """Words that no document has don't hide an item, nor do those around a short one."""
+    rng = random.Random(12)
+    docs, benchmark = table(spark, DATA, "documents").select("doc_id", "text"), table(spark, DATA, "benchmark")
+    known = [w for r in docs.orderBy("doc_id").limit(60).collect() for w in decontaminate.words_of(r["text"])]
+    short = [(10_000 + k, " ".join(known[at : at + 2 + k % 6])) for k, at in enumerate(rng.sample(range(len(known) - 7), 60))]
+    search = decontaminate.searches(docs, benchmark.select("item_id", "text").unionByName(spark.createDataFrame(short, "item_id long, text string")))[0]
+    items = [x for b in search.blocks for x in b.items]
+    for share in (0.0, 0.3, 0.4, 0.45):
+        texts = []
+        for item in items:
+            words, keep = list(item.words), len(item.answer) if share > 0.3 else 0
+            for i in rng.sample(range(len(words) - keep), min(len(words) - keep, int(share * len(words)))):
+                words[i] = f"new{rng.random()}"
+            texts.append([f"foreign{k}" for k in range(40)] + words + rng.sample(known, 40))
+        found = search.find([" ".join(t) for t in texts])
+        want = [any(item.match(t, at) for at in range(0, len(t), 4)) for item, t in zip(items, texts)]
+        assert sum(want) > 40 and all(item.item_id in f for item, f, w in zip(items, found, want) if w)
+
+
 def test_lcs():
     assert decontaminate.lcs("a b c d".split(), "x a c y d".split()) == 3 and decontaminate.lcs(["a"], []) == 0
 
