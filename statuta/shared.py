@@ -43,4 +43,14 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._cut_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote; no table that is still to be read may stand on them."""
+    for made in tables:
+        jvm = made.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(made._cut_path)
+        path.getFileSystem(made.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
