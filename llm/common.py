@@ -2,39 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from statuta.shared import cut, shared_path, shared_root  # noqa: F401
+from statuta.shared import cut, discard, shared_path, shared_root  # noqa: F401
 
 #: A document is held out when crc32 of its id, as text, leaves no remainder.
 FOLDS = 5
+#: Bytes of a table's files up to which their rows are dealt to all cores.
+SMALL_FILES = 256 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def growing_joins(spark: SparkSession, arrow_rows: int = 1000) -> Iterator[None]:
-    """For the jobs inside: no side of a join is broadcast by its size, so that plans are the same for small and
-    large tables, and Python gets batches of few rows, since a row may hold a long text or a whole multiset."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": str(arrow_rows),
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def dealt(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if its files are fewer than those and small, so that few tasks would read them."""
+    sc, files = df.sparkSession.sparkContext, df.inputFiles()
+    if len(files) >= sc.defaultParallelism:
+        return df
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    size = sum(p.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in map(path, files))
+    return df.repartition(sc.defaultParallelism) if 0 < size <= SMALL_FILES else df
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

@@ -13,57 +13,62 @@ the time of its first point, so two texts agree in a component with the chance
 of their weighted Jaccard similarity. A process is followed only until its
 next point is later than all components' values so far.
 
-Texts with equal multisets are one class from the start. Of the others, the
-signatures are cut into BANDS bands of ROWS values, and texts that share a
-band meet in a bucket. Each text is compared on whole multisets with its
-bucket's leader (the text that meets others most often); links make classes.
-What is left are texts of one bucket in different classes. Of up to SMALL
-texts all pairs between classes are compared. Larger groups are not:
-
-A group gets a centre C, the elements that over half of its texts have (the
-kth occurrence of a shingle is an element of its own). A text x differs from C
-by D(x), the elements of C that it misses and those that it adds. Then
-|x & y| = |C| - missing(x) - missing(y) + |D(x) & D(y)|. Either the first three
-terms are enough to link x and y; then both are linked to the text of which
-these terms leave most, and these links are taken from the counts. Or D(x) and
-D(y) share elements, and the more the less those terms leave; then x and y
-meet again in the group of one of these elements (prefix filter), unless they
-are of one class by then. An element's group is at most half its parent, so after
-log2(n / SMALL) rounds at most all groups are small. No link between texts
-that share a bucket is lost, and no group is expanded into all its pairs.
+Texts with equal multisets are one node from the start. Of the others, the
+signatures are cut into BANDS bands of ROWS values, and nodes that share a
+band meet in a bucket. Each node is compared on whole multisets with its
+bucket's leader (the node that meets others most often); nodes of one leader
+are a group, and of every comparison is kept by what the node differs from its
+leader. Links make classes. What is left are groups of several classes, and
+they are not expanded into their pairs:
+
+A group has a reference set C, at first its leader. A node x differs from C by
+D(x), the elements of C that it misses and those that it adds (the kth
+occurrence of a shingle is an element of its own). For any C,
+|x & y| = |C| - missing(x) - missing(y) + |D(x) & D(y)|, so differences are
+enough to verify a pair. In groups of up to SMALL nodes this is done inside a
+row, and only links come out. In larger ones C takes in what over half of the
+nodes add, and leaves what over half of them miss. Then either the first three
+terms are enough to link x and y; both are linked to the node of which these
+terms leave most, and these links are taken from the counts. Or D(x) and D(y)
+share elements, and how many at least follows from the numbers missed and
+added by the nodes of other classes. Then x and y meet again in the group of
+one of these elements (prefix filter), whose reference is still C. Such a
+group is at most half its parent, so after log2(n / SMALL) rounds at most all
+groups are small. No link between nodes that share a bucket is lost.
 
 Texts that share a similarity of 0.8 share no bucket with a chance of
 (1 - 0.8^6)^32 = 0.00006.
 
 Defined cases: null and empty texts are in no group (class_id is their own
 doc_id); texts of 1 to SHINGLE - 1 words have one shingle, the whole text; rows
-of one doc_id are one document; rows with a null doc_id have a null class_id; an
-empty table gives an empty result; only doc_id and text are read.
+of one doc_id are each classed by their own text; rows with a null doc_id have a
+null class_id and link nothing; an empty table gives an empty result; only
+doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import cut, growing_joins, table
-from llm.graph import components
+from llm.common import cut, dealt, discard, table
+from llm.graph import contracted, merged
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Shingles whose signatures are made side by side.
 BLOCK = 150_000
-#: Texts of a group of which all pairs between classes are compared.
+#: Nodes of a group whose pairs between classes are compared inside one row.
 SMALL = 32
-#: Pairs with one leader or centre that are compared in one task at most.
-SALTED_AT = 500
+#: Numbers of elements missed or added are told apart by this ratio where groups are summed up.
+STEP = 1.125
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,42 +143,56 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, content, bands): a hash of the multiset, null without words, and the band keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.string()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, text_hash, node, content, bands): a number of the row's own in random order, a hash of the multiset (null
+    without words or doc_id), and the band keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(ids: list, sets: list) -> pa.RecordBatch:
+        place = TaskContext.get().partitionId() << 33
+
+        def made(rows: list, sets: list) -> pa.RecordBatch:
+            nonlocal place
             full = [i for i, (h, _) in enumerate(sets) if len(h)]
             keys: list = [None] * len(sets)
             content: list = [None] * len(sets)
             if full:
                 for i, row in zip(full, band_keys(signatures([sets[i] for i in full])).tolist()):
                     keys[i] = row
-                    content[i] = hashlib.blake2b(sets[i][0].tobytes() + sets[i][1].tobytes(), digest_size=16).hexdigest()
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(content, pa.string()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                    content[i] = content_of(*sets[i])
+            nodes = mix(np.arange(place, place + len(sets), dtype=np.uint64) + _GOLDEN).view(np.int64)  # mix is one to one
+            place += len(sets)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((*zip(*rows), nodes, content, keys), schema)], schema=schema)
 
         for batch in batches:
-            ids, sets, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sets.append(multiset(text.as_py()))
-                ids.append(doc_id)
+            rows, sets, size = [], [], 0
+            for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                sets.append(multiset(None if doc_id is None else text.as_py()))
+                rows.append((doc_id, text_hash))
                 size += len(sets[-1][0])
                 if size > BLOCK:
-                    yield made(ids, sets)
-                    ids, sets, size = [], [], 0
-            if ids:
-                yield made(ids, sets)
+                    yield made(rows, sets)
+                    rows, sets, size = [], [], 0
+            if rows:
+                yield made(rows, sets)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, content string, bands array<long>")
+    read = dealt(documents).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return read.mapInArrow(run, "doc_id long, text_hash long, node long, content binary, bands array<long>")
 
 
-def elements(text: str | None) -> np.ndarray:
-    """Sorted hashes of a text's shingles, the kth occurrence of each as an element of its own; so multisets overlap as these sets do."""
-    hashes, counts = multiset(text)
+def content_of(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes() + counts.tobytes(), digest_size=16).digest()
+
+
+def spread(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A multiset as a sorted set: the kth occurrence of each shingle as an element of its own; so multisets overlap as these sets do."""
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     return np.sort((np.repeat(hashes, counts) + place.astype(np.uint64) * _GOLDEN).view(np.int64))
 
 
+def elements(text: str | None) -> np.ndarray:
+    return spread(*multiset(text))
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Elements that two sorted sets share."""
     if not len(a) or not len(b):
@@ -187,26 +206,21 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(shared / max(1, len(a) + len(b) - shared))
 
 
-def element_sets(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, elements) of the documents with the given ids; the texts are shuffled once, and only these kept."""
+def element_sets(documents: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, elements) of nodes (node, doc_id, content); the texts are shuffled once, and only these kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([elements(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], ["doc_id", "elements"])
-
-    texts = documents.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id").dropDuplicates(["doc_id"])
-    return cut(texts.mapInArrow(run, "doc_id long, elements array<long>"), "elements")
+            found, sets = [], []
+            for k, (content, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                one = multiset(text.as_py())
+                if content_of(*one) == content:  # else another text of the same doc_id
+                    found.append(k)
+                    sets.append(spread(*one))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], ["node", "elements"])
 
-
-def against(pairs: DataFrame, ones: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, one, other): for pairs (a, b) the elements of a in `ones` (a, elements), none if it is not there, and of b in `sets`.
-
-    What has many pairs is dealt out by a salt of b.
-    """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALTED_AT).cast("int").alias("salts"))
-    salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    held = many.join(ones.toDF("a", "one"), "a", "left").select("a", F.coalesce("one", F.array().cast("array<long>")).alias("one"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return salted.join(sets.toDF("b", "other"), "b").join(held, ["a", "salt"]).select("a", "b", "one", "other")
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(nodes, "doc_id").select("node", "content", "text")
+    return cut(texts.mapInArrow(run, "node long, elements array<long>"), "elements")
 
 
 def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
@@ -215,137 +229,179 @@ def lists(column: pa.ListArray) -> Iterator[np.ndarray]:
     return (values[i:j] for i, j in zip(at, at[1:]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose similarity is the threshold or more."""
+def differences(led: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, size, less, more) for each node b with a leader a: the leader's size, what b misses of it, and what b adds.
+
+    A leader of very many nodes is one key of the second join, which the
+    adaptive split of skewed joins deals to several tasks. Repeated rows of a
+    document give a node its elements more than once; one row of each is taken.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = [similarity(a, b) >= threshold for a, b in zip(lists(batch.column(2)), lists(batch.column(3)))]
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            sizes, less, more = [], [], []
+            for leader, own in zip(lists(batch.column(2)), lists(batch.column(3))):
+                sizes.append(len(leader))
+                less.append(np.setdiff1d(leader, own, assume_unique=True))
+                more.append(np.setdiff1d(own, leader, assume_unique=True))
+            arrays = [pa.array(sizes, pa.int64()), pa.array(less, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["a", "b", "size", "less", "more"])
 
-    return against(pairs, sets, sets).mapInArrow(run, "a long, b long")
+    held = led.where("a <> b").join(sets.toDF("b", "own"), "b").join(sets.toDF("a", "leader"), "a")
+    return held.select("a", "b", "leader", "own").mapInArrow(run, "a long, b long, size long, less array<long>, more array<long>")
 
 
-def differences(groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, size, within, gain, more, less) for each text b of a group a: its size, the elements it shares with the
-    centre, its gain, the elements it adds and those it misses. Linked texts share at least minus half the sum of their
-    gains of elements that they add or miss."""
-    members = groups.select("bucket", "doc_id", "n").join(sets, "doc_id").select("bucket", "n", F.explode("elements").alias("element"))
-    counts = members.groupBy("bucket", "n", "element").agg(F.count("*").alias("have")).where(2 * F.col("have") > F.col("n"))
-    centres = cut(counts.groupBy("bucket").agg(F.sort_array(F.collect_list("element")).alias("elements")), "centres")
-    least = threshold / (1 + threshold)  # linked texts share this part of the sum of their sizes
+def _linked(size: Column, shared: Column, threshold: float) -> Column:
+    """size: of both sets together, so with what they share counted twice. As exact as a division of whole numbers."""
+    return shared / F.greatest(F.lit(1), size - shared) >= threshold
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, withins, gains, more, less = [], [], [], [], []
-            for centre, own in zip(lists(batch.column(2)), lists(batch.column(3))):
-                more.append(np.setdiff1d(own, centre, assume_unique=True))
-                less.append(np.setdiff1d(centre, own, assume_unique=True))
-                sizes.append(len(own))
-                withins.append(len(own) - len(more[-1]))
-                gains.append(len(centre) - 2 * len(less[-1]) - 2 * least * len(own))
-            kinds = {"size": pa.int64(), "within": pa.int64(), "gain": pa.float64(), "more": pa.list_(pa.int64()), "less": pa.list_(pa.int64())}
-            columns = [pa.array(c, k) for c, k in zip((sizes, withins, gains, more, less), kinds.values())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", *kinds])
-
-    pairs = groups.select(F.col("bucket").alias("a"), F.col("doc_id").alias("b"))
-    return against(pairs, centres, sets).mapInArrow(run, "a long, b long, size long, within long, gain double, more array<long>, less array<long>")
-
-
-def meet_again(differ: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, doc_id): texts of a group that may be linked to one of another label share a bucket.
-
-    differ: differences() with labels. A text has to share `needed` elements of
-    those it adds or misses, since the gain of a text of another label is at
-    most `rival`; and `added` of those it adds, since what it shares within the
-    centre is at most `within`. Of each sorted list all but the last needed - 1
-    are given (prefix filter); those it misses only if `added` is under one.
-    """
-    by_label = differ.groupBy("a", "label").agg(F.max("gain").alias("gain"))
-    tops = by_label.groupBy("a").agg(F.max(F.struct("gain", "label")).alias("top"))
-    seconds = by_label.join(tops, "a").where("label <> top.label").groupBy("a", "top").agg(F.max("gain").alias("second"))
-    rival = F.when(F.col("label") == F.col("top.label"), F.col("second")).otherwise(F.col("top.gain"))
-    needed = F.greatest(F.lit(1), F.ceil(-(F.col("gain") + rival) / 2 - 1e-9))
-    added = F.ceil(threshold * F.col("size") - F.col("within") - 1e-9)
-    prefix = lambda x, least: F.slice(x, F.lit(1), F.greatest(F.lit(0), F.size(x) - least + 1).cast("int"))
-    adds = F.when(F.size("more") + F.size("less") >= needed, prefix(F.col("more"), F.greatest(F.lit(1), added)))
-    both = F.when(added < 1, prefix(F.sort_array(F.concat("more", "less")), needed)).otherwise(F.array().cast("array<long>"))
-    kept = differ.join(seconds, "a").select("a", "b", F.explode(F.array_union(adds, both)).alias("element"))
-    return kept.select(F.xxhash64("a", "element").alias("bucket"), F.col("b").alias("doc_id"))
 
+def between(groups: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between nodes of a group (bucket, b, label, size, less, more) with different labels; groups have up to SMALL nodes."""
 
-def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id) for every row: the smallest doc_id of its class."""
-    with growing_joins(documents.sparkSession):
-        own, classes = _classes(documents, threshold)
-    labelled = own.join(classes.toDF("first", "label"), "first", "left")
-    return labelled.select("doc_id", F.coalesce("label", "first").alias("class_id"))
+    def links(x: Column, nodes: Column) -> Column:
+        both = lambda f, y: F.size(F.array_intersect(x[f], y[f]))
+        own = lambda y: y["size"] - F.size(y["less"])
 
+        def near(y: Column) -> Column:
+            total = own(x) + F.size(x["more"]) + own(y) + F.size(y["more"])
+            base = x["size"] - F.size(x["less"]) - F.size(y["less"])
+            at_most = base + F.least(F.size(x["less"]), F.size(y["less"])) + F.least(F.size(x["more"]), F.size(y["more"]))
+            return (x["b"] < y["b"]) & (x["label"] != y["label"]) & _linked(total, at_most, threshold) & _linked(total, base + both("less", y) + both("more", y), threshold)
 
-def _classes(documents: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, first) of all rows, where first stands for equal multisets; (node, label) of linked ones."""
-    prints = cut(fingerprints(documents), "fingerprints")
-    # Equal multisets: one text stands for them.
-    copies = cut(prints.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
-    own = prints.select("doc_id", "content").join(copies, "content", "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"))
-    singles = prints.join(copies.select("content", F.col("first").alias("stands")), "content", "left").where(
-        F.col("bands").isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce("stands", "doc_id") == F.col("doc_id"))
-    )
-    met = singles.select("doc_id", F.explode("bands").alias("bucket"))
-    members = cut(gathered(met.withColumn("label", F.col("doc_id"))), "members")
-    return cut(own, "own"), _resolve(documents, members, threshold)
-
-
-def gathered(met: DataFrame) -> DataFrame:
-    """(bucket, doc_id, n, label) of the buckets of met (bucket, doc_id, label) that have several labels; of buckets of the same n texts one."""
-    same = ["n", "low", "high", "texts"]
-    buckets = (
-        met.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.bit_xor(F.xxhash64("doc_id")).alias("texts"), F.min("label").alias("first"), F.max("label").alias("last"))
-        .where("first < last")
+        return F.transform(F.filter(nodes, near), lambda y: F.struct(x["b"].alias("a"), y["b"].alias("b")))
+
+    held = groups.groupBy("bucket").agg(F.collect_list(F.struct("b", "label", "size", "less", "more")).alias("nodes"))
+    return held.select(F.explode(F.flatten(F.transform("nodes", lambda x: links(x, F.col("nodes"))))).alias("link")).select("link.*").distinct()
+
+
+def referred(groups: DataFrame) -> DataFrame:
+    """The groups (bucket, n, b, size, less, more) with what over half of a group's nodes add put into its reference, and what over half of them miss left out of it."""
+    side = lambda x, missed: F.transform(x, lambda e: F.struct(e.alias("element"), F.lit(missed).alias("missed")))
+    each = groups.select("bucket", "n", F.explode(F.concat(side("less", True), side("more", False))).alias("x")).select("bucket", "n", "x.*")
+    most = each.groupBy("bucket", "n", "element", "missed").agg(F.count("*").alias("have")).where("2 * have > n")
+    flips = most.groupBy("bucket").agg(F.collect_list(F.when(F.col("missed"), F.col("element"))).alias("out"), F.collect_list(F.when(~F.col("missed"), F.col("element"))).alias("into"))
+    none = F.array().cast("array<long>")
+    held = groups.join(cut(flips, "flips"), "bucket", "left").withColumns({"out": F.coalesce("out", none), "into": F.coalesce("into", none)})
+    return held.select(
+        "bucket", "n", "b", (F.col("size") + F.size("into") - F.size("out")).alias("size"),
+        F.concat(F.array_except("less", "out"), F.array_except("into", "more")).alias("less"),
+        F.concat(F.array_except("more", "into"), F.array_except("out", "less")).alias("more"),
+    )
+
+
+def with_gain(threshold: float) -> Column:
+    """Linked nodes share at least minus half the sum of their gains of elements that they add or miss."""
+    least = threshold / (1 + threshold)  # linked nodes share this part of the sum of their sizes
+    return F.col("size") - 2 * F.size("less") - 2 * least * (F.col("size") - F.size("less") + F.size("more"))
+
+
+def meet_again(known: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, old, b): nodes of a group that may be linked to one of another label share a bucket.
+
+    known: rows of referred() with gain and label. The nodes of a group are
+    summed up by label (that of the largest gain, or another) and by steps of
+    the numbers they miss and add. For a node, each sum of other labels says how
+    many elements two linked nodes share at least of those they add (`added`),
+    and of both kinds (`needed`). Of what a node adds all but the last added - 1
+    are given (prefix filter, by hash order); those it misses only if `added`
+    may be none.
+    """
+    step = lambda x: F.floor(F.log(STEP, F.size(x) + F.lit(1.0)))
+    tops = known.groupBy("bucket").agg(F.max(F.struct("gain", "label"))["label"].alias("top"))
+    known = cut(known.join(tops, "bucket"), "known")
+    kinds = known.groupBy("bucket", (F.col("label") == F.col("top")).alias("in_top"), step("less").alias("p"), step("more").alias("q")).agg(
+        F.max("gain").alias("gain"), F.max(F.size("less")).alias("less"), F.max(F.size("more")).alias("more")
     )
-    return met.join(buckets.groupBy(*same).agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "bucket").select("bucket", "doc_id", "n", "label")
+    sums = cut(kinds.groupBy("bucket").agg(F.collect_list(F.struct("in_top", "gain", "less", "more")).alias("kinds")), "kinds")
+    less, more, in_top = F.size("less"), F.size("more"), F.col("label") == F.col("top")
 
+    def bounds(k: Column) -> Column:
+        needed = F.ceil(-(F.col("gain") + k["gain"]) / 2 - 1e-9)
+        added = needed - F.least(less, k["less"])
+        return F.when((~in_top | ~k["in_top"]) & (added <= F.least(more, k["more"])), F.struct(added.alias("added"), needed.alias("needed")))
 
-def between(groups: DataFrame) -> DataFrame:
-    """(a, b) with a < b: pairs of texts of a group with different labels; groups have up to SMALL texts."""
-    both = groups.groupBy("bucket").agg(F.collect_list(F.struct("doc_id", "label")).alias("texts")).select("texts", F.explode("texts").alias("x"))
-    pairs = both.select("x", F.explode("texts").alias("y")).where("x.doc_id < y.doc_id AND x.label <> y.label")
-    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    found = F.filter(F.transform("kinds", bounds), lambda x: x.isNotNull())
+    joined = known.join(sums, "bucket").withColumn("found", found).where(F.size("found") > 0)
+    joined = joined.withColumns({"added": F.array_min(F.transform("found", lambda x: x["added"])), "needed": F.greatest(F.lit(1), F.array_min(F.transform("found", lambda x: x["needed"])))})
+    prefix = lambda x, least: F.slice(x, F.lit(1), F.greatest(F.lit(0), F.size(x) - least + 1).cast("int"))
+    adds = prefix(F.sort_array("more"), F.greatest(F.lit(1), F.col("added")))
+    both = F.when(F.col("added") < 1, prefix(F.sort_array(F.concat("more", "less")), F.col("needed"))).otherwise(F.array().cast("array<long>"))
+    kept = joined.select(F.col("bucket").alias("old"), "b", F.explode(F.array_union(adds, both)).alias("element"))
+    return kept.select(F.xxhash64("old", "element").alias("bucket"), "old", "b")
 
 
-def _resolve(documents: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """(node, label) of all texts with a link; members: (bucket, doc_id, n, label)."""
-    weight = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    sets = element_sets(documents, weight.select("doc_id"))
-    leading = members.join(weight, "doc_id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("most"))
-    leaders = cut(leading.select("bucket", (-F.col("most.minus")).alias("a")), "leaders")
-    led = members.join(leaders, "bucket")
-    links = cut(verified(led.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), sets, threshold), "links")
-    labels = components(links)
+def gathered(met: DataFrame, node: str, label: str | None = None) -> DataFrame:
+    """met with the number n of rows in their bucket: those of buckets that have several nodes (several labels, if given); of buckets of the same nodes one."""
+    same = ["n", "low", "high", "nodes"]
+    aggregates = [F.count("*").alias("n"), F.min(node).alias("low"), F.max(node).alias("high"), F.bit_xor(F.xxhash64(node)).alias("nodes")]
+    if label:
+        aggregates += [F.min(label).alias("first"), F.max(label).alias("last")]
+    buckets = met.groupBy("bucket").agg(*aggregates).where("first < last" if label else "low < high")
+    kept = buckets.groupBy(*same).agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    return met.join(kept, "bucket")
 
-    def labelled(met: DataFrame) -> DataFrame:
-        """With the label of each doc_id's class so far."""
-        return met.join(labels.toDF("doc_id", "known"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("known", "doc_id").alias("label"))
 
-    pairs = between(gathered(labelled(members.where(F.col("n") <= SMALL))))
-    # Texts that meet in large buckets of one leader are one group.
-    groups = cut(gathered(labelled(led.where(F.col("n") > SMALL).select(F.col("a").alias("bucket"), "doc_id").distinct())), "groups")
+def classified(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text_hash, class, class_id) for every row: a number of its class, and the smallest doc_id of it."""
+    prints = cut(fingerprints(documents), "fingerprints")
+    # Equal multisets: one row's node stands for them.
+    copies = prints.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("first"), F.min("node").alias("stands"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stands = F.coalesce("stands", "node")
+    joined = prints.join(copies, "content", "left")
+    own = cut(
+        joined.select("doc_id", "text_hash", stands.alias("node"), F.coalesce("first", "doc_id").alias("first"), *(F.when(stands == F.col("node"), F.col(c)).alias(c) for c in ("content", "bands"))),
+        "own",
+    )
+    discard(prints)
+    singles = own.where(F.col("bands").isNotNull())
+    members = cut(gathered(singles.select("node", F.explode("bands").alias("bucket")), "node"), "members")
+    labels = _resolve(documents, singles.select("node", "doc_id", "content"), members, threshold)
+    classes = labels.join(singles.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("class_id"))
+    found = cut(labels.join(classes, "label").select("node", "label", "class_id"), "classes")
+    return own.join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("class"), F.coalesce("class_id", "first").alias("class_id"))
+
+
+def _resolve(documents: DataFrame, nodes: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(node, label) of all nodes with a link; members: (bucket, node, n)."""
+    weight = cut(members.groupBy("node").agg(F.sum("n").alias("weight")), "weight")
+    sets = element_sets(documents, nodes.join(weight.select("node"), "node", "left_semi"))
+    leading = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
+    led = cut(members.join(leading, "bucket").select("a", F.col("node").alias("b")).distinct(), "led")
+    differ = cut(differences(led, sets).dropDuplicates(["a", "b"]), "differ")
+    discard(members, weight, sets, led)
+    shared = F.col("size") - F.size("less")
+    labels = contracted(differ.where(_linked(F.col("size") + shared + F.size("more"), shared, threshold)).select("a", "b"))
+    none = F.array().cast("array<long>")
+    leaders = differ.groupBy("a").agg(F.max("size").alias("size")).select(F.col("a").alias("bucket"), F.col("a").alias("b"), "size", none.alias("less"), none.alias("more"))
+    groups = differ.withColumnRenamed("a", "bucket").unionByName(leaders)
+
+    def labelled(groups: DataFrame) -> DataFrame:
+        """With the label of each node's class so far."""
+        return groups.join(labels.toDF("b", "known"), "b", "left").withColumn("label", F.coalesce("known", "b")).drop("known")
+
+    # A group of two is verified already.
+    groups = cut(gathered(labelled(groups), "b", "label").where("n > 2"), "groups")
     while True:
-        pairs = cut(pairs.unionByName(between(groups.where(F.col("n") <= SMALL))), "pairs")
-        large = groups.where(F.col("n") > SMALL)
+        labels = merged(labels, between(groups.where(F.col("n") <= SMALL), threshold))
+        large = cut(labelled(groups.where(F.col("n") > SMALL).drop("label")), "large")
+        discard(groups)
         if large.isEmpty():
-            break
-        differ = cut(differences(large, sets, threshold), "differ")
-        most = differ.groupBy("a").agg(F.max(F.struct("gain", "b")).alias("most"))
-        enough = differ.join(most, "a").where((F.col("gain") + F.col("most.gain") >= -1e-9) & (F.col("b") != F.col("most.b")))
-        links = cut(links.unionByName(enough.select(F.col("most.b").alias("a"), "b")), "links")
-        labels = components(links)
-        known = differ.join(labels.toDF("b", "known"), "b", "left").withColumn("label", F.coalesce("known", "b")).drop("known")
-        again = meet_again(cut(known, "known"), threshold)
-        groups = cut(gathered(labelled(again)), "groups")
-    new = verified(pairs.distinct(), sets, threshold)
-    return components(links.unionByName(cut(new, "links")))
+            return labels
+        large = cut(referred(gathered(large.drop("n"), "b", "label")).withColumn("gain", with_gain(threshold)), "referred")
+        most = large.groupBy("bucket").agg(F.max(F.struct("gain", "b")).alias("most"))
+        enough = large.join(most, "bucket").where((F.col("gain") + F.col("most.gain") >= -1e-9) & (F.col("b") != F.col("most.b")))
+        labels = merged(labels, enough.select(F.col("most.b").alias("a"), "b"))
+        again = cut(meet_again(labelled(large), threshold), "again")
+        met = gathered(labelled(again), "b", "label").select("bucket", "old", "b", "n", "label")
+        rows = large.select(F.col("bucket").alias("old"), "b", "size", "less", "more")
+        groups = cut(met.join(rows, ["old", "b"]).drop("old"), "groups")
+        discard(large, again)
+
+
+def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id) for every row: the smallest doc_id of its class."""
+    return classified(documents, threshold).select("doc_id", "class_id")
 
 
 def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,8 +409,11 @@ def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id; rows without an id stay."""
-    columns = docs.columns
-    keep = cut(near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct(), "keep")
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*columns).unionByName(docs.where(F.col("doc_id").isNull()).select(*columns))
+    """One document of each class: the one with the smallest doc_id, and of several such rows the one whose text has the
+    smallest hash. Rows that are equal in doc_id and text are one; rows without an id stay; null and empty texts are
+    classes of their own; other columns are kept as they are, whatever their names; an empty table stays empty."""
+    kept = classified(docs).where(F.col("doc_id") == F.col("class_id")).groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+    keep = cut(kept.select("doc_id", "text_hash").distinct(), "keep")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    one = rows.join(keep, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return one.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
