@@ -26,15 +26,16 @@ D(x), the elements of C that it misses and those that it adds (the kth
 occurrence of a shingle is an element of its own). For any C,
 |x & y| = |C| - missing(x) - missing(y) + |D(x) & D(y)|, so differences are
 enough to verify a pair. In groups of up to SMALL nodes this is done inside a
-row, and only links come out. In larger ones C takes in what over half of the
-nodes add, and leaves what over half of them miss. Then either the first three
-terms are enough to link x and y; both are linked to the node of which these
+row, and only links come out. In larger ones C takes in what over half of
+REFERENCE of the nodes add, and leaves what over half of them miss, which
+keeps the differences small. Then either the first three terms are enough to link x and y; both are linked to the node of which these
 terms leave most, and these links are taken from the counts. Or D(x) and D(y)
 share elements, and how many at least follows from the numbers missed and
 added by the nodes of other classes. Then x and y meet again in the group of
 one of these elements (prefix filter), whose reference is still C. Such a
-group is at most half its parent, so after log2(n / SMALL) rounds at most all
-groups are small. No link between nodes that share a bucket is lost.
+group lacks over half of the REFERENCE nodes, in general half of its parent,
+so after a few rounds all groups are small. No link between nodes that share a
+bucket is lost.
 
 Texts that share a similarity of 0.8 share no bucket with a chance of
 (1 - 0.8^6)^32 = 0.00006.
@@ -55,7 +56,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.common import cut, dealt, discard, table
@@ -65,8 +66,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 6
 #: Shingles whose signatures are made side by side.
 BLOCK = 150_000
-#: Nodes of a group whose pairs between classes are compared inside one row.
-SMALL = 32
+#: Nodes of a group, and elements in their differences, whose pairs between classes are compared inside one row.
+SMALL, HELD = 512, 4_000_000
+#: Nodes of a larger group from which a better reference is made.
+REFERENCE = 31
 #: Numbers of elements missed or added are told apart by this ratio where groups are summed up.
 STEP = 1.125
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -276,13 +279,18 @@ def between(groups: DataFrame, threshold: float) -> DataFrame:
 
 
 def referred(groups: DataFrame) -> DataFrame:
-    """The groups (bucket, n, b, size, less, more) with what over half of a group's nodes add put into its reference, and what over half of them miss left out of it."""
-    side = lambda x, missed: F.transform(x, lambda e: F.struct(e.alias("element"), F.lit(missed).alias("missed")))
-    each = groups.select("bucket", "n", F.explode(F.concat(side("less", True), side("more", False))).alias("x")).select("bucket", "n", "x.*")
-    most = each.groupBy("bucket", "n", "element", "missed").agg(F.count("*").alias("have")).where("2 * have > n")
-    flips = most.groupBy("bucket").agg(F.collect_list(F.when(F.col("missed"), F.col("element"))).alias("out"), F.collect_list(F.when(~F.col("missed"), F.col("element"))).alias("into"))
-    none = F.array().cast("array<long>")
-    held = groups.join(cut(flips, "flips"), "bucket", "left").withColumns({"out": F.coalesce("out", none), "into": F.coalesce("into", none)})
+    """The groups (bucket, n, b, size, less, more), after what over half of a group's first REFERENCE nodes by hash add has
+    been put into its reference, and what over half of them miss been left out of it. Any reference gives right results."""
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("b"))
+    picked = groups.select("bucket", "b").withColumn("place", F.row_number().over(order)).where(F.col("place") <= REFERENCE)
+    held = groups.select("bucket", "b", "less", "more").join(picked.select("bucket", "b"), ["bucket", "b"]).groupBy("bucket").agg(F.collect_list("less").alias("less"), F.collect_list("more").alias("more"))
+
+    def common(sets: str) -> Column:
+        """What over half of the sets have: of all elements in order, those that come again half the sets later."""
+        return F.array_distinct(F.element_at(F.transform(F.array(F.array_sort(F.flatten(sets))), lambda x: F.filter(x, lambda e, i: F.get(x, i + F.floor(F.size(sets) / 2).cast("int")) == e)), 1))
+
+    flips = cut(held.select("bucket", common("less").alias("out"), common("more").alias("into")), "flips")
+    held = groups.join(flips, "bucket")
     return held.select(
         "bucket", "n", "b", (F.col("size") + F.size("into") - F.size("out")).alias("size"),
         F.concat(F.array_except("less", "out"), F.array_except("into", "more")).alias("less"),
@@ -297,7 +305,7 @@ def with_gain(threshold: float) -> Column:
 
 
 def meet_again(known: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, old, b): nodes of a group that may be linked to one of another label share a bucket.
+    """(bucket, old, b, label): nodes of a group that may be linked to one of another label share a bucket.
 
     known: rows of referred() with gain and label. The nodes of a group are
     summed up by label (that of the largest gain, or another) and by steps of
@@ -327,8 +335,8 @@ def meet_again(known: DataFrame, threshold: float) -> DataFrame:
     prefix = lambda x, least: F.slice(x, F.lit(1), F.greatest(F.lit(0), F.size(x) - least + 1).cast("int"))
     adds = prefix(F.sort_array("more"), F.greatest(F.lit(1), F.col("added")))
     both = F.when(F.col("added") < 1, prefix(F.sort_array(F.concat("more", "less")), F.col("needed"))).otherwise(F.array().cast("array<long>"))
-    kept = joined.select(F.col("bucket").alias("old"), "b", F.explode(F.array_union(adds, both)).alias("element"))
-    return kept.select(F.xxhash64("old", "element").alias("bucket"), "old", "b")
+    kept = joined.select(F.col("bucket").alias("old"), "b", "label", F.explode(F.array_union(adds, both)).alias("element"))
+    return kept.select(F.xxhash64("old", "element").alias("bucket"), "old", "b", "label")
 
 
 def gathered(met: DataFrame, node: str, label: str | None = None) -> DataFrame:
@@ -346,14 +354,15 @@ def classified(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, class, class_id) for every row: a number of its class, and the smallest doc_id of it."""
     prints = cut(fingerprints(documents), "fingerprints")
     # Equal multisets: one row's node stands for them.
-    copies = prints.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("first"), F.min("node").alias("stands"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = prints.where(F.col("content").isNotNull()).groupBy("content").agg(F.min("doc_id").alias("first"), F.min("node").alias("stands"), F.count("*").alias("n"))
+    copies = cut(same.where("n > 1").drop("n"), "copies")
     stands = F.coalesce("stands", "node")
     joined = prints.join(copies, "content", "left")
     own = cut(
         joined.select("doc_id", "text_hash", stands.alias("node"), F.coalesce("first", "doc_id").alias("first"), *(F.when(stands == F.col("node"), F.col(c)).alias(c) for c in ("content", "bands"))),
         "own",
     )
-    discard(prints)
+    discard(prints, copies)
     singles = own.where(F.col("bands").isNotNull())
     members = cut(gathered(singles.select("node", F.explode("bands").alias("bucket")), "node"), "members")
     labels = _resolve(documents, singles.select("node", "doc_id", "content"), members, threshold)
@@ -383,8 +392,10 @@ def _resolve(documents: DataFrame, nodes: DataFrame, members: DataFrame, thresho
     # A group of two is verified already.
     groups = cut(gathered(labelled(groups), "b", "label").where("n > 2"), "groups")
     while True:
-        labels = merged(labels, between(groups.where(F.col("n") <= SMALL), threshold))
-        large = cut(labelled(groups.where(F.col("n") > SMALL).drop("label")), "large")
+        sizes = groups.groupBy("bucket", "n").agg(F.sum(F.size("less") + F.size("more")).alias("held"))
+        large = cut(sizes.where((F.col("n") > SMALL) | (F.col("n") > 2) & (F.col("held") > HELD)).select("bucket"), "large-groups")
+        labels = merged(labels, between(groups.join(large, "bucket", "left_anti"), threshold))
+        large = cut(labelled(groups.join(large, "bucket", "left_semi").drop("label")), "large")
         discard(groups)
         if large.isEmpty():
             return labels
@@ -393,7 +404,7 @@ def _resolve(documents: DataFrame, nodes: DataFrame, members: DataFrame, thresho
         enough = large.join(most, "bucket").where((F.col("gain") + F.col("most.gain") >= -1e-9) & (F.col("b") != F.col("most.b")))
         labels = merged(labels, enough.select(F.col("most.b").alias("a"), "b"))
         again = cut(meet_again(labelled(large), threshold), "again")
-        met = gathered(labelled(again), "b", "label").select("bucket", "old", "b", "n", "label")
+        met = gathered(again, "b", "label").select("bucket", "old", "b", "n", "label")
         rows = large.select(F.col("bucket").alias("old"), "b", "size", "less", "more")
         groups = cut(met.join(rows, ["old", "b"]).drop("old"), "groups")
         discard(large, again)
