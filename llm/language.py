@@ -5,9 +5,9 @@ letters, all else a space), hashed to HASHED places and scaled to length one.
 Weights are learned by follow-the-regularised-leader with an L1 and an L2
 penalty, then the scores' temperature is fitted on texts kept apart.
 
-The classifier, its document frequencies included, is fitted on a bounded
-sample (PER_LANG whole texts of each language, SAMPLE in all, none over
-MAX_CHARS characters); prediction reads every text whole.
+Document frequencies are counted over all learning documents. The weights are
+fitted on a bounded sample (PER_LANG whole texts of each language, SAMPLE in
+all, none over MAX_CHARS characters); prediction reads every text whole.
 
 Defined cases: a null text or one without letters is `und` with score 0;
 without any label every text is `und`; ties go to the language first by name;
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.common import held_out, table
+from llm.common import dealt, held_out, table
 
 PER_LANG, SAMPLE, MAX_CHARS = 800, 20_000, 20_000
 HASHED, EPOCHS = 1 << 15, 3
@@ -38,12 +38,12 @@ def letters() -> np.ndarray:
     """For each code point, whether it is a letter."""
     global _letters
     if _letters is None:
-        _letters = np.array([chr(i).isalpha() for i in range(0x110000)])
+        _letters = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
     return _letters
 
 
-def ngram_counts(text: str) -> np.ndarray | None:
-    """How often each hashed n-gram occurs; None without a letter."""
+def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The hashed n-grams of a text in order, and how often each occurs; None without a letter."""
     codes = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "replace"), "<u4")
     is_letter = letters()[codes]
     if not is_letter.any():
@@ -55,10 +55,10 @@ def ngram_counts(text: str) -> np.ndarray | None:
     one = codes * np.uint32(0x9E3779B1)
     two = (one[:-1] ^ np.uint32(0x5BD1E995)) * np.uint32(0x85EBCA6B) + codes[1:] * np.uint32(0xC2B2AE35)
     three = (two[:-1] ^ np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1) + codes[2:] * np.uint32(0x9E3779B1)
-    total = np.zeros(HASHED)
-    for grams in (one, two, three):
-        total += np.bincount((grams ^ (grams >> np.uint32(15))) & np.uint32(HASHED - 1), minlength=HASHED)
-    return total
+    grams = np.concatenate([one, two, three])
+    total = np.bincount((grams ^ (grams >> np.uint32(15))) & np.uint32(HASHED - 1), minlength=HASHED)
+    seen = np.flatnonzero(total)
+    return seen, total[seen]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -69,23 +69,26 @@ def softmax(z: np.ndarray) -> np.ndarray:
 class LanguageModel:
     """Weights, document frequencies and a temperature; picklable."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
-        rows = [(c, lang) for text, lang in rows if (c := ngram_counts(text)) is not None]
-        self.langs = sorted({lang for _, lang in rows})
+    def __init__(self, rows: list[tuple[str, str]], df: np.ndarray, n: int):
+        """rows: texts and languages, which are kept as sparse rows only; df: in how many of n documents each n-gram occurs."""
+        self.idf = np.log((1 + n) / (1 + df)) + 1
+        counted = [(self._row(*c), lang) for text, lang in rows if (c := ngram_counts(text)) is not None]
+        self.langs = sorted({lang for _, lang in counted})
         if not self.langs:
             return
-        sparse = [(np.flatnonzero(c), c[np.flatnonzero(c)]) for c, _ in rows]
-        df = np.bincount(np.concatenate([i for i, _ in sparse]), minlength=HASHED)
-        self.idf = np.log((1 + len(rows)) / (1 + df)) + 1
-        x = [(i, v / np.linalg.norm(v)) for i, v in ((i, np.log1p(n) * self.idf[i]) for i, n in sparse)]
-        y = np.array([self.langs.index(lang) for _, lang in rows])
-        apart = np.arange(len(rows)) % 5 == 4
+        x, y = [v for v, _ in counted], np.array([self.langs.index(lang) for _, lang in counted])
+        apart = np.arange(len(x)) % 5 == 4
         if apart.all() or not apart.any():
             apart[:] = False
         self.weights = self._follow(x, y, np.flatnonzero(~apart))
-        rest = np.flatnonzero(apart) if apart.any() else np.arange(len(rows))
+        rest = np.flatnonzero(apart) if apart.any() else np.arange(len(x))
         self.temperature = self._calibrate(np.array([self._logits(*x[k]) for k in rest]), y[rest])
 
+    def _row(self, i: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """TF-IDF weights of length one."""
+        v = np.log1p(n) * self.idf[i]
+        return i.astype(np.int32), (v / np.linalg.norm(v)).astype(np.float32)
+
     def _follow(self, x: list, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Weights (place and, last, bias; language) after EPOCHS passes of follow-the-regularised-leader."""
         c = len(self.langs)
@@ -120,27 +123,45 @@ class LanguageModel:
         counts = ngram_counts(text or "") if self.langs else None
         if counts is None:
             return UNKNOWN, 0.0
-        i = np.flatnonzero(counts)
-        v = np.log1p(counts[i]) * self.idf[i]
-        p = softmax(self._logits(i, v / np.linalg.norm(v)) / self.temperature)
+        p = softmax(self._logits(*self._row(*counts)) / self.temperature)
         best = int(p.argmax())
         return self.langs[best], float(p[best])
 
 
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts each hashed n-gram occurs, and how many texts have a letter; each task sends HASHED sums at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(HASHED, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0):
+                if (c := ngram_counts(text.as_py() or "")) is not None:
+                    total[c[0]] += 1
+                    n += 1
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([*seen, -1], pa.int32()), pa.array([*total[seen], n], pa.int64())], ["place", "n"])
+
+    rows = texts.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    df, n = np.zeros(HASHED, np.int64), 0
+    for r in rows:
+        if r["place"] < 0:
+            n = r["n"]
+        else:
+            df[r["place"]] = r["n"]
+    return df, n
+
+
 def fit(documents: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE, max_chars: int = MAX_CHARS) -> LanguageModel:
-    """Learn from documents that are not held out: of each language those with the smallest hashes of doc_id."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = documents.select("doc_id", "lang").where(F.col("lang").isNotNull() & ~held_out())
-    ids = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).orderBy("rank", "lang").limit(sample)
-    ids = ids.select("doc_id").distinct()
-    rows = (
-        documents.select("doc_id", "text", "lang")
-        .where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(ids), "doc_id")  # SAMPLE ids at most
-        .select("text", "lang")
-        .collect()
-    )
-    return LanguageModel(sorted((r["text"], r["lang"]) for r in rows))
+    """Learn from documents that are not held out: document frequencies from all of them, weights from those of each
+    language with the smallest hashes of doc_id, of rows with one doc_id one; per_lang times the languages, and
+    `sample`, are the most texts that come to the driver."""
+    known = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).withColumn("hash", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash")
+    keys = known.where(F.length("text") <= max_chars).select("doc_id", "lang", "hash").distinct()
+    ids = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang).orderBy("rank", "lang").limit(sample).select("doc_id", "hash", "lang")
+    picked = known.select("doc_id", "hash", "lang", "text").join(F.broadcast(ids), ["doc_id", "hash", "lang"])  # `sample` ids at most
+    rows = picked.groupBy("doc_id", "hash", "lang").agg(F.min("text").alias("text")).collect()
+    return LanguageModel(sorted((r["text"], r["lang"]) for r in rows), *document_frequencies(dealt(known.select("text"))))
 
 
 def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
@@ -154,7 +175,7 @@ def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
                 [batch.column(0), pa.array([lang for lang, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], ["doc_id", "lang_pred", "score"]
             )
 
-    found = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = dealt(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
