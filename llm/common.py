@@ -38,26 +38,26 @@ def labelled_sample(
 ) -> tuple[list[tuple[int, str, int]], dict[int, int]]:
     """Whole labelled texts for fitting a classifier: (doc_id, text, label), and rows by label.
 
-    Of the labelled documents that are not held out, those with the smallest
-    hashes of doc_id are taken, `per_class` of each label at most; longer texts
-    than `max_chars` are left to the rest. So the sample is bounded by
-    2 * per_class * max_chars characters, whatever the size of the tables. A
-    document with several label rows takes the largest label. The class counts
-    cover every labelled row.
+    Of the labelled documents that are not held out and have a text of
+    `max_chars` characters at most, those with the smallest hashes of doc_id
+    are taken, `per_class` of each label at most; of rows with one doc_id the
+    one whose text has the smallest hash. So the sample is bounded by
+    2 * per_class * max_chars characters, whatever the size of the tables, and
+    filled up from all documents there are. A document with several label rows
+    takes the largest label. The class counts cover every labelled row.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
     )
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("hash")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars) & ~held_out())
+    # Labels and documents meet by id alone; texts are read again for the few that are picked.
+    usable = texts.groupBy("doc_id").agg(F.min("hash").alias("hash")).join(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = [known.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
-    ids = picked[0].union(picked[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = (
-        documents.select("doc_id", "text")
-        .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-        .join(F.broadcast(ids), "doc_id")  # 2 * per_class rows at most
-        .collect()
-    )
-    rows = sorted({r["doc_id"]: (r["doc_id"], r["text"], r["label"]) for r in rows}.values())
-    return rows, counts
+    usable = cut(usable, "labelled")
+    picked = [usable.where(F.col("label") == k).orderBy(*order).limit(per_class) for k in (0, 1)]
+    found = texts.join(F.broadcast(picked[0].union(picked[1])), ["doc_id", "hash"])  # 2 * per_class rows at most
+    rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
+    discard(usable)
+    return sorted((r["doc_id"], r["text"], r["label"]) for r in rows), counts

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.calibration import Logistic, class_weights
-from llm.common import held_out, labelled_sample, table
+from llm.common import dealt, held_out, labelled_sample, table
 
 PER_CLASS, MAX_CHARS = 1500, 20_000
 WINDOW, DICTIONARY_BYTES, LEVEL = 2048, 65_536, 3
@@ -112,7 +112,7 @@ def score(documents: DataFrame, model: QualityModel) -> DataFrame:
             scores = shared.value([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    scored = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    scored = dealt(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

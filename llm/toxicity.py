@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.calibration import Logistic, class_weights
-from llm.common import held_out, labelled_sample, table
+from llm.common import dealt, held_out, labelled_sample, table
 from llm.quality import keep_where
 
 PER_CLASS, MAX_CHARS = 3000, 20_000
@@ -332,7 +332,7 @@ def score(documents: DataFrame, model: ToxicityModel) -> DataFrame:
             scores, spans = shared.value.tag([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, span)], ["doc_id", "score", "spans"])
 
-    scored = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
+    scored = dealt(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
