@@ -1,18 +1,21 @@
 """Operator 7: exact top-k search by incremental multi-index hashing.
 
 A vector's binary code is the signs of its components. It is cut into segments
-of about log2(rows) bits, MOST_BITS at most, and an index holds a row for
-each segment of each distinct code. In round r every open query looks up all
-values at distance r from its own in each segment; the codes found are
-verified by their whole Hamming distance. After round r a code at distance
-s * (r + 1) - 1 or less must have been found (s segments; otherwise each would
-differ in more than r bits), so a query whose kth verified distance is covered
-by that is finished. Rounds go on until every query is.
+of equal length, log2 of the number of codes at most, so that a value of a
+segment has few codes however many there are; an index holds a row for each
+segment of each distinct code. In round r every open query looks up all values
+at distance r from its own in each segment; the codes found are verified by
+their whole Hamming distance, and those farther than the kth so far are dropped
+in the join. After round r a code at distance s * (r + 1) - 1 or less must have
+been found (s segments; otherwise each would differ in more than r bits), so a
+query whose kth verified distance is covered by that is finished. Rounds go on
+until every query is.
 
 Codes are indexed once with their k smallest ids, which are all that a result
 ordered by distance and id can hold; so copies of a vector, however many, are
-one index row and nothing is lost. Lookups are equi-joins; segment values that
-many distinct codes share are spread over salts.
+one index row and nothing is lost. Look-ups are shuffled equi-joins, since the
+values looked up grow with the queries; values that many distinct codes share
+are left to the adaptive split of skewed joins.
 
 Defined cases: null vectors have no code and are neither found nor asked for;
 zeros and NaN count as not positive; ties go to the smaller id; a query finds
@@ -31,9 +34,7 @@ from pyspark.sql import functions as F
 
 from llm.common import cut, table
 
-K, MOST_BITS = 10, 16
-#: Index rows of one segment value that a task reads; beyond that they are dealt to more.
-SALTED_AT = 2000
+K = 10
 
 
 def codes(vectors: DataFrame, dims: int, bits: int) -> DataFrame:
@@ -55,6 +56,16 @@ def distinct_codes(coded: DataFrame, k: int) -> DataFrame:
     return few.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
+def looked_up(open_: DataFrame, radius: int, bits: int, dims: int) -> DataFrame:
+    """(query, bound, segment, value): all values at distance `radius` from a query's own; positions of changed bits ascend."""
+    own = open_.select("query", "bound", F.posexplode("query").alias("segment", "value")).repartition("query", "segment")
+    own = own.select("*", F.least(F.lit(bits), dims - F.col("segment") * bits).alias("width"), F.lit(0).alias("next"))
+    for _ in range(radius):
+        flips = own.where("next < width").withColumn("flip", F.explode(F.sequence("next", F.col("width") - 1)))
+        own = flips.select("query", "bound", "segment", F.expr("value ^ shiftleft(1L, flip)").alias("value"), "width", (F.col("flip") + 1).alias("next"))
+    return own.select("query", "bound", "segment", "value")
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, distance): of each query the k nearest codes, by distance and then id."""
     spark = vectors.sparkSession
@@ -62,38 +73,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if not seen["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
     dims = seen["dims"]
-    bits = min(MOST_BITS, max(4, round(log2(seen["n"]))))
+    bits = ceil(dims / ceil(dims / min(60, max(4, log2(seen["n"])))))
     segments = ceil(dims / bits)
-    distinct = cut(distinct_codes(codes(vectors, dims, bits), k))
-    rows = distinct.select("code", F.col("ids")[0].alias("least"), F.posexplode("code").alias("segment", "value"))
-    many = rows.groupBy("segment", "value").agg(F.count("*").alias("n")).where(F.col("n") > SALTED_AT)
-    hot = cut(many.select("segment", "value", F.ceil(F.col("n") / SALTED_AT).cast("int").alias("salts")))
-    salts = F.coalesce("salts", F.lit(1))
-    index = cut(rows.join(hot, ["segment", "value"], "left").withColumn("salt", F.pmod(F.xxhash64("code"), salts).cast("int")).drop("salts"))
-    asked = cut(codes(queries, dims, bits).groupBy("code").agg(F.collect_set("vec_id").alias("query_ids")))  # equal queries search once
-    open_ = asked.select(F.col("code").alias("query"))
+    distinct = cut(distinct_codes(codes(vectors, dims, bits), k), "codes")
+    index = cut(distinct.select("code", F.col("ids")[0].alias("least"), F.posexplode("code").alias("segment", "value")), "index")
+    asked = cut(codes(queries, dims, bits).groupBy("code").agg(F.collect_set("vec_id").alias("query_ids")), "asked")  # equal queries search once
+    open_ = asked.select(F.col("code").alias("query"), F.lit(dims).alias("bound"))
     found = None
     done: list[DataFrame] = []
     order = Window.partitionBy("query").orderBy("distance", "least", "code")
     nearest = lambda df, n: df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
     whole = Window.partitionBy("query")
     for radius in range(bits + 1):
-        masks = F.expr(f"filter(sequence(0L, {(1 << bits) - 1}L), m -> bit_count(m) = {radius})")  # folded into one literal
-        probes = open_.select("query", F.posexplode("query").alias("segment", "own"))
-        probes = probes.select("query", "segment", "own", F.explode(masks).alias("mask")).select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        probes = probes.join(hot, ["segment", "value"], "left").select("query", "segment", "value", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-        hits = probes.join(index, ["segment", "value", "salt"]).select("query", "code", "least", distance(F.col("query"), F.col("code")).alias("distance"))
+        probes = looked_up(open_, radius, bits, dims).alias("p").hint("merge")  # they grow with the queries: no broadcast
+        apart = distance(F.col("p.query"), F.col("i.code"))
+        hits = probes.join(index.alias("i"), (F.col("p.segment") == F.col("i.segment")) & (F.col("p.value") == F.col("i.value")) & (apart <= F.col("p.bound")))
+        hits = hits.select("query", "code", "least", apart.alias("distance"))
         hits = hits if found is None else hits.unionByName(found)
         reach = segments * (radius + 1) - 1  # farther codes may not have been found yet
         # A code can be found in each segment and before, so that of k * (segments + 1) rows k are different.
         best = nearest(nearest(hits, k * (segments + 1)).distinct(), k)
-        closed = ((F.count("*").over(whole) >= k) & (F.max("distance").over(whole) <= reach)) | F.lit(reach >= dims)
-        best = cut(best.withColumn("closed", closed))
-        done.append(best.where("closed").drop("closed"))
-        open_ = open_.join(done[-1], "query", "left_anti")
+        full = F.count("*").over(whole) >= k
+        bound = F.when(full, F.max("distance").over(whole)).otherwise(dims)
+        best = cut(best.withColumns({"bound": bound, "closed": (full & (bound <= reach)) | F.lit(reach >= dims)}), "best")
+        done.append(best.where("closed").drop("closed", "bound"))
+        rest = best.where("NOT closed")
+        bounds = rest.groupBy("query").agg(F.min("bound").alias("kth"))
+        open_ = open_.join(done[-1], "query", "left_anti").join(bounds, "query", "left").select("query", F.coalesce("kth", "bound").alias("bound"))
         if reach >= dims or open_.isEmpty():
             break
-        found = best.where("NOT closed").drop("closed")
+        open_ = cut(open_, "open")
+        found = rest.drop("closed", "bound")
     pairs = reduce(DataFrame.unionByName, done).join(distinct, "code").select("query", "distance", F.explode("ids").alias("vec_id"))
     last = Window.partitionBy("query").orderBy("distance", "vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
