@@ -6,11 +6,12 @@ lang, tokenizer_version) before the shuffle and committed as one folder,
 `batch=<id>`, under the store's path. Spark's commit makes the folder whole at
 once (its _SUCCESS file comes last), and a batch that is already committed is
 not written again, so a retried or repeated batch changes nothing. Totals are
-the sum over the committed batches; compact() folds them into one snapshot.
+the sum over the committed batches; compact() folds them into one snapshot,
+whose rows carry the ids of the batches in it, so that these stay committed.
 
 Defined cases: null source, lang or version are keys of their own; a null count
 adds no tokens but counts as a document; null signs count as +1; repeated rows
-each count; keys whose totals are all zero are left out of totals(); an empty
+each count, those of a null doc_id too; keys whose totals are all zero are left out of totals(); an empty
 batch is committed as an empty one; columns besides the named ones are ignored.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from llm.common import cut, shared_path, table
 
 KEYS = ("source", "lang", "tokenizer_version")
+SNAPSHOT = "snapshot"
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
@@ -51,13 +53,18 @@ class Rollup:
         return sorted(p.toString() for p in found if p.getName().startswith("batch=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def committed(self) -> set[str]:
-        return {p.rpartition("batch=")[2] for p in self._committed()}
+        """Ids of all batches, those folded into a snapshot too."""
+        found = {p.rpartition("batch=")[2] for p in self._committed()}
+        if SNAPSHOT in found:
+            ledger = self.spark.read.schema("batch string").parquet(f"{self.path}/batch={SNAPSHOT}").where("batch IS NOT NULL")
+            found = found - {SNAPSHOT} | {r["batch"] for r in ledger.collect()}  # an id each, as commit() lists them
+        return found
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch of (source, lang, tokenizer_version, n_tokens, sign); False if it had been committed before."""
-        if not batch or "/" in batch or batch in self.committed():
-            if not batch or "/" in batch:
-                raise ValueError(f"not a batch id: {batch!r}")
+        if not batch or "/" in batch or batch == SNAPSHOT:
+            raise ValueError(f"not a batch id: {batch!r}")
+        if batch in self.committed():
             return False
         summed(changes).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         return True
@@ -66,16 +73,17 @@ class Rollup:
         paths = self._committed()
         if not paths:
             return self.spark.createDataFrame([], SCHEMA)
-        deltas = self.spark.read.schema(SCHEMA).parquet(*paths)
+        deltas = self.spark.read.schema(SCHEMA).parquet(*paths).where("n_docs IS NOT NULL")
         totals = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return totals.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
     def compact(self, path: str) -> Rollup:
-        """A new store with the same totals in one batch."""
+        """A new store with the same totals and the same committed ids in one folder, which Spark's commit makes whole at once."""
         new = Rollup(self.spark, path)
         if new.committed():
             raise ValueError(f"{path} holds a store already")
-        self.totals().write.mode("overwrite").parquet(f"{new.path}/batch=snapshot")
+        ids = self.spark.createDataFrame([(b,) for b in sorted(self.committed())], "batch string")
+        self.totals().unionByName(ids, allowMissingColumns=True).write.mode("overwrite").parquet(f"{new.path}/batch={SNAPSHOT}")
         return new
 
 
@@ -124,5 +132,5 @@ OP10_SQL = rf"""
 SELECT source, lang, CASE WHEN doc_id % 3 = 1 THEN 'pieces-2' ELSE 'words-1' END AS tokenizer_version,
   count(*) AS n_docs,
   CAST(sum(len(regexp_extract_all(coalesce(text, ''), CASE WHEN doc_id % 3 = 1 THEN '{VERSIONS["pieces-2"]}' ELSE '{VERSIONS["words-1"]}' END))) AS BIGINT) AS n_tokens
-FROM documents WHERE doc_id % 11 <> 5 GROUP BY 1, 2, 3
+FROM documents WHERE doc_id IS NULL OR doc_id % 11 <> 5 GROUP BY 1, 2, 3
 """

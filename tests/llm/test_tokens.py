@@ -70,7 +70,6 @@ def test_binary_files(spark, monkeypatch, sizes):
     monkeypatch.setattr(binary_ids, "RANGE_IDS", sizes[0])
     monkeypatch.setattr(binary_ids, "FILE_IDS", sizes[1])
     twin = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    twin.encode_special_tokens = True
     docs = table(spark, DATA, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(texts())] + [(-5, None)], "doc_id long, text string"))
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
     expected, start = [], 0
@@ -81,6 +80,15 @@ def test_binary_files(spark, monkeypatch, sizes):
     assert sorted(tuple(r) for r in read_back(spark, docs)) == expected
 
 
+def test_words_and_pieces_equal_the_library():
+    rng, path = random.Random(5), public_tokenizers.path("byte_bpe_50k.json")
+    ids, twin = binary_ids.Ids(path), Tokenizer.from_file(path)
+    odd = ["a <|endoftext|> b", "x\n\ny z", "a\0 b c", "a.\nb,\nc!? d?!\n", "\u00b2 foo_. bar's, it'S.", ". . ,", "a b. c\u0085d", "b" * 300 + ". c", ""]
+    for text in odd + ["".join(rng.choice("ab .,\n_'\u00bd\u00e9\t\u65e5<") for _ in range(rng.randint(1, 30))) for _ in range(500)]:
+        assert ids([text])[0] == np.array(twin.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert all(len(w) <= binary_ids.KEPT_CHARS for w in ids.young)
+
+
 def test_binary_files_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert read_back(spark, spark.createDataFrame([], schema)) == []
@@ -130,5 +138,8 @@ def test_rollup_batches_are_idempotent(spark):
     assert {tuple(r) for r in store.totals().collect()} == expected
     assert {tuple(r) for r in store.compact(shared_path(spark, "r2")).totals().collect()} == expected
     assert store.committed() == {"1", "2", "3"}
+    new = store.compact(shared_path(spark, "r3"))
+    assert new.committed() == {"1", "2", "3"} and not new.commit("2", fix) and new.commit("4", fix.limit(0))
+    assert {tuple(r) for r in new.totals().collect()} == expected and new.committed() == {"1", "2", "3", "4"}
     with pytest.raises(ValueError):
         store.commit("a/b", fix)
