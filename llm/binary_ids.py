@@ -15,8 +15,9 @@ other by name: `part-<range>-<n>.svb`. A file is
 
 The texts are tokenised once; the ids are written as Parquet, counted by id
 (the vocabulary bounds the counts), encoded, dealt out by ranges of doc_id and
-sorted there. A task writes a file beside its place and then renames it, and a
-repeated task writes the same bytes, so lost executors do no harm.
+sorted there. A task writes a file beside its place and then renames it if none
+is there, and a repeated task writes the same bytes, so lost executors do no
+harm.
 
 Defined cases: a null or empty text has the end id only; a null doc_id comes
 first and is read back as null; repeated doc_ids are ordered by their ids'
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.bpe import ACROSS
-from llm.common import cut, shared_path, table
+from llm.common import cut, dealt, discard, shared_path, table
 
 END_ID = 0
 MAGIC = b"SVB1"
@@ -50,7 +52,13 @@ NULL_ID = -(1 << 63)
 #: Lengths of the four ranks of each control byte.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 PLACE = np.arange(4, dtype=np.uint8)
-CACHE_WORDS = 400_000
+#: Words in each of the two generations that a worker keeps.
+CACHE_WORDS = 700_000
+MARKS = ".,;:!?"
+#: Longest word that is kept.
+KEPT_CHARS = 100
+#: Letters, perhaps after a space: one match of the pattern, before and after which any line feed stands alone.
+PLAIN = re.compile(r" ?[^\W\d_]+")
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -96,12 +104,29 @@ def read_file(raw: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
         control, data, before = control + k, data + size, before + count
 
 
+def pieces(word: str) -> list[str]:
+    """A word cut where the pattern cuts it for sure: at single line feeds, and between a letter or figure and the marks at
+    a line's end; the word itself if it is long or anything is unusual."""
+    out: list[str] = []
+    if len(word) > KEPT_CHARS:
+        return [word]
+    for k, part in enumerate(word.split("\n")):
+        core = part.rstrip(MARKS)
+        if not core or not core[-1].isalnum() or part.split() != [part if k else part.removeprefix(" ")]:
+            return [word]
+        out += ["\n"] * (k > 0) + [core] + [part[len(core) :]] * (len(core) < len(part))
+    return out
+
+
 class Ids:
     """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers.
 
     A byte-level tokenizer without normaliser splits texts by its pattern, in
-    which a space after anything but white space begins a new match; so words
-    are encoded once and kept. Other tokenizers get whole texts.
+    which a space after anything but white space begins a new match, a mark
+    after a letter or figure does, and a single line feed between other signs
+    is one. So words are encoded once and kept, and a new word is put together
+    from its pieces. Texts that hold an added token, and texts of other
+    tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -109,28 +134,68 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
         self.by_word = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.cache: dict[str, bytes] = {}
+        self.added = [t["content"] for t in made.get("added_tokens", [])]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        feed = self._encode(["\n"])[0]
+        self.feed = int(np.frombuffer(feed, "<u4")[0]) if self.by_word and len(feed) == 4 else -1
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Plain words at once, as one text with a line feed before each; the others each by itself."""
+        plain = [p for p in pieces if PLAIN.fullmatch(p)] if self.feed >= 0 else []
+        done: dict[str, bytes] = {}
+        for at in range(0, len(plain), 2000):
+            some = plain[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n" + "\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            begin = np.flatnonzero(ids == self.feed)
+            raw, begin = ids.tobytes(), (4 * np.append(begin, len(ids))).tolist()
+            if len(begin) == len(some) + 1:
+                done.update(zip(some, (raw[i + 4 : j] for i, j in zip(begin, begin[1:]))))
+        rest = [p for p in pieces if p not in done]
+        done.update(zip(rest, self._encode(rest)))
+        return done
+
+    def _learn(self, words: set[str]) -> None:
+        """Put the ids of new words into the young generation."""
+        young, old, plain = self.young, self.old, PLAIN.fullmatch
+        new = {w for w in words if plain(w)}
+        cut = [(w, pieces(w)) for w in words if w not in new]
+        for piece in {p for _, parts in cut for p in parts}:
+            if piece not in young:
+                if piece in old:
+                    young[piece] = old[piece]
+                else:
+                    new.add(piece)
+        young.update(self._encode_pieces(list(new)))
+        for word, parts in cut:
+            if len(parts) > 1:
+                young[word] = b"".join([young[p] for p in parts])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.by_word or t.startswith(" ") or ACROSS.search(t) is not None for t in texts]
+        whole = [not self.by_word or t.startswith(" ") or ACROSS.search(t) is not None or any(a in t for a in self.added) for t in texts]
         out = [b""] * len(texts)
         for i in (i for i, w in enumerate(whole) if w):
             out[i] = self._encode([texts[i]])[0]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        for i in (i for i, w in enumerate(whole) if not w):
-            first, *rest = texts[i].split(" ")
-            words = [first, *(" " + w for w in rest)]
-            if missing := [w for w in set(words) if w not in self.cache]:
-                self.cache.update(zip(missing, self._encode(missing)))
-            out[i] = b"".join(map(self.cache.__getitem__, words))
+        split = {i: texts[i].replace(" ", "\0 ").split("\0") if "\0" not in texts[i] else re.split("(?= )", texts[i]) for i, w in enumerate(whole) if not w}
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        found = {i: list(map(young.get, words)) for i, words in split.items()}
+        fresh = {w for i, ids in found.items() if None in ids for w, x in zip(split[i], ids) if x is None}
+        if fresh:
+            young.update((w, old[w]) for w in fresh if w in old)
+            self._learn({w for w in fresh if w not in young})
+        for i, ids in found.items():
+            out[i] = b"".join([young[w] if x is None else x for w, x in zip(split[i], ids)] if None in ids else ids)
+        for word in fresh:
+            if len(word) > KEPT_CHARS:
+                del young[word]
         return out
 
 
@@ -149,15 +214,15 @@ def token_ids(documents: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokenizer(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 ids = [np.frombuffer(x + end, "<u4") for x in encode([t or "" for t in part.column(1).to_pylist()])]
                 wide = [bool(x.max() > 0xFFFF) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(wide, pa.bool_()), pa.array([x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide)], pa.binary())], ["doc_id", "wide", "ids"]
                 )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, wide boolean, ids binary")
+    return dealt(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, wide boolean, ids binary")
 
 
 def frequencies(ids: DataFrame) -> list[tuple[int, int]]:
@@ -181,7 +246,7 @@ def frequencies(ids: DataFrame) -> list[tuple[int, int]]:
 
 
 def write_files(ids: DataFrame, folder: str) -> DataFrame:
-    """Write the files, and `ranks` (a Parquet table of rank and id) beside them; (part, ids) for each range."""
+    """Write the files, and `ranks` (a Parquet table of rank and id) beside them; (part, ids) for each range. ids is a table of cut(), and deleted."""
     spark = ids.sparkSession
     counts = frequencies(ids)
     spark.createDataFrame([(rank, i) for rank, (i, _) in enumerate(counts)], "rank long, id long").coalesce(1).write.parquet(f"{folder}/ranks")
@@ -211,7 +276,11 @@ def write_files(ids: DataFrame, folder: str) -> DataFrame:
                 aside = f"{root}/_{part}-{file}-{attempt}"
                 with store.open_output_stream(aside) as out:
                     out.write(file_bytes(docs, total))
-                store.move(aside, f"{root}/part-{part:06d}-{file:06d}.svb")
+                place = f"{root}/part-{part:06d}-{file:06d}.svb"
+                if store.get_file_info(place).type == fs.FileType.NotFound:
+                    store.move(aside, place)
+                else:  # an earlier attempt wrote the same bytes
+                    store.delete_file(aside)
                 docs, total, held, file = [], total + held, 0, file + 1
 
         for batch in batches:
@@ -225,9 +294,12 @@ def write_files(ids: DataFrame, folder: str) -> DataFrame:
 
     store, root = fs.FileSystem.from_uri(f"{folder}/ids")
     store.create_dir(root, recursive=True)
-    encoded = ids.mapInArrow(packed, "doc_id long, n long, control binary, data binary")
+    encoded = cut(ids.mapInArrow(packed, "doc_id long, n long, control binary, data binary"), "packed")  # ranges are sampled before rows are dealt
+    discard(ids)
     placed = encoded.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "control", "data")
-    return cut(placed.mapInArrow(save, "part long, ids long"), "ranges")
+    done = cut(placed.mapInArrow(save, "part long, ids long"), "ranges")
+    discard(encoded)
+    return done
 
 
 def read_files(spark: SparkSession, folder: str, ranges: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ class Field:
         cache, weights = self.cache, self.weights
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        for token in set(tokens) - cache.keys():
+        for token in {t for t in tokens if t not in cache}:
             cache[token] = float(weights[features(token)].sum())
         return np.fromiter(map(cache.__getitem__, tokens), np.float64, len(tokens))
 
