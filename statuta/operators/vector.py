@@ -46,15 +46,21 @@ def batch_top_k(rows: DataFrame, questions: DataFrame, k: int, id_column: str =
 
     Questions are a stated set, sent to the tasks in blocks. A task multiplies
     a batch of rows with a block and keeps the k best of each question, so that
-    only k rows for each question and batch are shuffled.
+    only k rows for each question and batch are shuffled. As in top_k, rows of
+    another length than a question's, with null elements or of length zero are
+    not among its nearest.
     """
     spark = rows.sparkSession
     asked = [(r["question_id"], r["embedding"]) for r in questions.where(F.col("embedding").isNotNull()).select("question_id", "embedding").orderBy("question_id").collect()]
     schema = "question_id long, id long, similarity double"
     found = spark.createDataFrame([], schema)
-    pairs = rows.where(F.col("embedding").isNotNull()).select(F.col(id_column).cast("long").alias("id"), "embedding")
-    for first in range(0, len(asked), QUERY_BLOCK):
-        block = asked[first : first + QUERY_BLOCK]
+    whole = rows.where(~F.exists("embedding", lambda x: x.isNull())).select(F.col(id_column).cast("long").alias("id"), "embedding")
+    by_length: dict[int, list] = {}
+    for question in asked:
+        if question[1] and None not in question[1]:
+            by_length.setdefault(len(question[1]), []).append(question)
+    for length, first in ((n, at) for n, same in by_length.items() for at in range(0, len(same), QUERY_BLOCK)):
+        pairs, block = whole.where(F.size("embedding") == length), by_length[length][first : first + QUERY_BLOCK]
         matrix = np.array([v for _, v in block], float)
         size = np.linalg.norm(matrix, axis=1, keepdims=True)
         shared = spark.sparkContext.broadcast(([i for i, _ in block], np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)))

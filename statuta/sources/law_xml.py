@@ -27,8 +27,6 @@ PARAGRAPH, PARAGRAPH_BODY = "항", ("항내용",)
 DELETED = "삭제"
 SEARCH_FIELDS = {"mst": "법령일련번호", "law_name": "법령명한글", "law_type": "법령종류명", "promulgation_date": "공포일자", "ministry": "소관부처명"}
 
-#: Longest payload that is parsed, in characters; longer ones count as malformed.
-MAX_XML = 64 * 1024 * 1024
 RAW = "law_name string, law_type string, effective_date string, amendment_date string, position int, number string, branch string, status string, title string, body string"
 
 
@@ -40,7 +38,7 @@ def text_of(element: ET.Element, tags: tuple[str, ...]) -> str:
 
 def raw_articles(xml: str | None) -> list[tuple]:
     """Article fields of a payload as they stand, without normalisation; none if it is malformed."""
-    if not xml or len(xml) > MAX_XML:
+    if not xml:
         return []
     try:
         root = ET.fromstring(xml)

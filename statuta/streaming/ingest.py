@@ -13,24 +13,25 @@ from statuta.operators.store import ARTICLE_KEY, insert_status
 
 
 def append_new(path: str, position: str = "position"):
-    """A function for foreachBatch that writes the new articles of a batch below path."""
+    """A function for foreachBatch that writes the new articles of a batch below path.
+
+    What earlier batches stored is one read of their keys, with the batch number
+    as partition column; a later attempt of the same batch doesn't see itself.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        keys = spark.createDataFrame([], ", ".join(f"{k} string" for k in ARTICLE_KEY))
-        for earlier in _batches(batch, path, number):
-            keys = keys.unionByName(spark.read.parquet(earlier).select(*ARTICLE_KEY))
+        keys = earlier(batch, path, number)
         new = insert_status(batch, keys, order=position).where(F.col("status") == "inserted").drop("status")
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
-def _batches(batch: DataFrame, path: str, before: int) -> list[str]:
-    jvm = batch.sparkSession._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return [f"{path}/{n}" for n in names if n.startswith("batch=") and int(n[6:]) < before]
+def earlier(batch: DataFrame, path: str, number: int) -> DataFrame:
+    """Keys of the articles that batches of smaller numbers stored."""
+    spark, schema = batch.sparkSession, ", ".join(f"{k} string" for k in ARTICLE_KEY)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        return spark.createDataFrame([], schema)
+    stored = spark.read.schema(f"{schema}, batch string").parquet(path)
+    return stored.where(F.col("batch").try_cast("long") < number).select(*ARTICLE_KEY)

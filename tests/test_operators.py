@@ -82,6 +82,13 @@ def test_vectors(spark):
     assert batch == [(7, 1, 1), (7, 4, 2), (7, 5, 3)]
 
 
+def test_batch_top_k_of_unequal_lengths(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0, 1.0]), (2, [1.0]), (3, [1.0, 1.0]), (4, [None, 1.0]), (5, None), (6, [0.0, 0.0])], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 1.0]), (3, [2.0]), (4, None), (5, [None, 1.0]), (6, [0.0, 0.0])], "question_id long, embedding array<float>")
+    found = {(r["question_id"], r["id"], round(r["similarity"], 6)) for r in vector.batch_top_k(rows, asked, 5).collect()}
+    assert {(1, 3, 0.707107), (2, 1, 1.0), (3, 2, 1.0)} == {x for x in found if x[0] < 6}
+
+
 def library(spark):
     law = spark.createDataFrame(
         [(i, "법", "부령", "ALL", f"제{i}조", "", "본문", "", [1.0, float(i)], True) for i in range(1, 4)],
