@@ -13,7 +13,7 @@ label, none over MAX_CHARS characters); scoring reads every text whole.
 
 Defined cases: null and empty texts have no windows and get the score of
 all-zero differences; a table without labels of both classes gives every text
-the share of good labels, or 0.5 without labels; repeated rows are each scored; an empty table
+the share of good labels, or 0.5 without labels (so does one whose texts of a label are all over MAX_CHARS); repeated rows are each scored; an empty table
 gives an empty result; only doc_id and text of documents are read.
 """
 
@@ -78,8 +78,8 @@ class QualityModel:
         return self._open
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """Differences of sizes by byte: bad - good, none - good, none - bad, none - 1; means, and extremes over the windows."""
-        out = np.zeros((len(texts), 8))
+        """Differences of sizes by byte: means of bad - good, none - good and none - bad, and extremes of the first two over the windows."""
+        out = np.zeros((len(texts), 6))
         good, bad, none = (c.compress for c in self._compressors())
         for i, text in enumerate(texts):
             parts = windows(text)
@@ -90,7 +90,7 @@ class QualityModel:
             total = n.sum()
             whole = n >= min(WINDOW / 2, n.max())  # a short rest says little by itself
             by = ((b - g) / n)[whole], ((c - g) / n)[whole]
-            out[i] = [(b - g).sum() / total, (c - g).sum() / total, (c - b).sum() / total, (c - n).sum() / total, by[0].min(), by[1].min(), by[0].max(), min(total, WINDOW) / WINDOW]
+            out[i] = [(b - g).sum() / total, (c - g).sum() / total, (c - b).sum() / total, by[0].min(), by[1].min(), by[0].max()]
         return out
 
     def __call__(self, texts: list[str]) -> np.ndarray:
@@ -122,7 +122,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score is at least THRESHOLD, in the columns they came in."""
+    """The documents whose score is at least THRESHOLD, in the columns they came in, whatever their names.
+
+    Null and empty texts are scored as in score(); repeated rows and null ids stay or go by their text; an empty table
+    stays empty.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
     return keep_where(docs, model, lambda p: p >= THRESHOLD)
 
