@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from llm.common import table
+from llm.common import dealt, table
 
 NONE = np.int64(1) << 40
 #: Matches of up to so many bytes are merged side by side.
@@ -283,7 +283,7 @@ def encode(documents: DataFrame, path: str, pattern: str, keep_ids: bool = False
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return documents.select(documents["doc_id"].cast("long"), "text").mapInArrow(run, schema)
+    return dealt(documents.select(documents["doc_id"].cast("long"), "text")).mapInArrow(run, schema)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

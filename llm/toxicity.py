@@ -342,6 +342,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose score is under THRESHOLD, in the columns they came in."""
+    """The documents whose score is under THRESHOLD, in the columns they came in, whatever their names.
+
+    Null and empty texts are scored as in score(); repeated rows and null ids stay or go by their text; an empty table
+    stays empty.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"))
     return keep_where(docs, model, lambda p: p < THRESHOLD)
