@@ -31,6 +31,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,6 +119,16 @@ def pieces(word: str) -> list[str]:
     return out
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+BYTE_SIGNS = byte_signs()
+
+
 class Ids:
     """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers.
 
@@ -140,23 +151,14 @@ class Ids:
         self.added = [t["content"] for t in made.get("added_tokens", [])]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        feed = self._encode(["\n"])[0]
-        self.feed = int(np.frombuffer(feed, "<u4")[0]) if self.by_word and len(feed) == 4 else -1
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Plain words at once, as one text with a line feed before each; the others each by itself."""
-        plain = [p for p in pieces if PLAIN.fullmatch(p)] if self.feed >= 0 else []
-        done: dict[str, bytes] = {}
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n" + "\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            begin = np.flatnonzero(ids == self.feed)
-            raw, begin = ids.tobytes(), (4 * np.append(begin, len(ids))).tolist()
-            if len(begin) == len(some) + 1:
-                done.update(zip(some, (raw[i + 4 : j] for i, j in zip(begin, begin[1:]))))
+        """Plain words by the library's merges alone, which is what it does with one match; the others in whole."""
+        tokenize, plain = self.tokenizer.model.tokenize, PLAIN.fullmatch
+        done = {p: array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes() for p in pieces if plain(p)}
         rest = [p for p in pieces if p not in done]
         done.update(zip(rest, self._encode(rest)))
         return done
