@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from llm import decontaminate, hamming, near_dedup
@@ -86,7 +87,9 @@ def test_chains_and_odd_rows(spark):
     assert sorted((r["doc_id"], r["class_id"]) for r in twice if r["doc_id"]) == [(1, 1), (1, 1)] and len(twice) == 3
 
 
-def test_group_of_copies_around_the_threshold(spark):
+@pytest.mark.parametrize("small", [512, 8])
+def test_group_of_copies_around_the_threshold(spark, monkeypatch, small):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     rng = random.Random(9)
     base = [f"w{rng.randint(0, 999)}" for _ in range(150)]
     rows = []
