@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,13 @@ from pyspark.sql import functions as F
 WORD_END = r"[ \t\n\r\f]+"
 
 
+class Tokenizer(NamedTuple):
+    """Another unit than words: a text to numbers, and numbers back to text."""
+
+    encode: Callable[[str], list[int]]
+    decode: Callable[[list[int]], str]
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_END, -1), lambda w: w != "")
 
@@ -30,8 +41,22 @@ def windows(tokens: Column, size: int = 800, overlap: int = 100) -> Column:
     return F.when(n == 0, F.slice(made, 1, 0)).otherwise(made)
 
 
-def chunk(rows: DataFrame, text: str, keys: list[str], size: int = 800, overlap: int = 100) -> DataFrame:
-    """(keys, chunk_index, start, n_tokens, content)."""
-    split = rows.select(*keys, words(F.col(text)).alias("tokens"))
+def chunk(rows: DataFrame, text: str, keys: list[str], size: int = 800, overlap: int = 100, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """(keys, chunk_index, start, n_tokens, content): windows over words, or over a tokenizer's numbers if one is given."""
+    if tokenizer is None:
+        split, join = words(F.col(text)), lambda tokens: F.array_join(tokens, " ")
+    else:
+        encode, decode = tokenizer
+
+        def to_numbers(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: encode(t or ""))
+
+        def to_text(tokens: pd.Series) -> pd.Series:
+            return tokens.map(lambda t: decode([int(x) for x in t]))
+
+        numbers = F.pandas_udf(to_numbers, "array<int>")
+        join = F.pandas_udf(to_text, "string")
+        split = numbers(F.col(text))
+    split = rows.select(*keys, split.alias("tokens"))
     made = split.select(*keys, F.explode(windows(F.col("tokens"), size, overlap)).alias("w"))
-    return made.select(*keys, "w.chunk_index", "w.start", "w.n_tokens", F.array_join("w.tokens", " ").alias("content"))
+    return made.select(*keys, "w.chunk_index", "w.start", "w.n_tokens", join(F.col("w.tokens")).alias("content"))

@@ -9,6 +9,7 @@ threshold leaves.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,6 +39,11 @@ def document_candidates(documents: DataFrame, user_id: str | None, label: str |
     return rows if label in (None, rules.ALL) else rows.where(F.col("metadata.law_name") == label)
 
 
+def tenant(user_id: str) -> str:
+    """The id of a user in its usual form; ValueError if it is none."""
+    return str(uuid.UUID(user_id))
+
+
 def law_result() -> list[Column]:
     head = F.when(F.coalesce("article_title", F.lit("")) == "", F.col("article_no")).otherwise(F.concat("article_no", F.lit(" ["), "article_title", F.lit("]")))
     return [
@@ -79,19 +85,39 @@ def hybrid_search(law: DataFrame, documents: DataFrame, vector: Sequence[float],
     return _merge(statutes.unionByName(chunks), threshold, k, ())
 
 
-def batch_hybrid_search(law: DataFrame, documents: DataFrame, questions: DataFrame, k: int = 10, threshold: float = 0.4) -> DataFrame:
-    """The same for many questions (question_id, embedding) over all labels and users."""
-    best_law = batch_top_k(law_candidates(law), questions, k)
-    best_chunks = batch_top_k(documents.where(F.col("embedding").isNotNull()), questions, k)
+def batch_hybrid_search(law: DataFrame, documents: DataFrame, questions: DataFrame, k: int = 10, threshold: float = 0.4, scoped: bool = False) -> DataFrame:
+    """The same for many questions (question_id, embedding) over all labels and users.
+
+    If scoped, each question (also label, user_id) sees its tax type's articles
+    only, and of its user's chunks those of its law, or all of them for ALL. One
+    without a user sees no chunks.
+    """
+    chunks = documents.where(F.col("embedding").isNotNull())
+    if scoped:
+        label = F.when(F.col("label") != rules.ALL, F.col("label"))
+        best_law = batch_top_k(law_candidates(law), questions, k, same=[("tax_type", label)])
+        asked = questions.where(F.coalesce("user_id", F.lit("")) != "")
+        best_chunks = batch_top_k(chunks.withColumn("_law", F.col("metadata.law_name")), asked, k, same=[("user_id", F.col("user_id")), ("_law", label)])
+    else:
+        best_law, best_chunks = batch_top_k(law_candidates(law), questions, k), batch_top_k(chunks, questions, k)
     keys = ["question_id"]
     statutes = _source(law.join(best_law, "id"), law_result(), 0, keys)
     chunks = _source(documents.join(best_chunks, "id"), document_result(), 1, keys)
     return _merge(statutes.unionByName(chunks), threshold, k, keys)
 
 
+def _entries() -> Column:
+    entry = F.format_string(f"[출처: %s | %s | {PIN} %s (%s)]\n%s", "source", "law_name", "category", "source_type", "content")
+    return F.sort_array(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("entries")
+
+
+def contexts(results: DataFrame, key: str) -> DataFrame:
+    """(key, context) of the keys that have results."""
+    return results.groupBy(key).agg(_entries()).select(key, F.array_join(F.transform("entries", lambda e: e["entry"]), SEPARATOR).alias("context"))
+
+
 def context(results: DataFrame) -> DataFrame:
     """One row: the results as one text for a prompt; a fixed sentence if there are none."""
-    entry = F.format_string(f"[출처: %s | %s | {PIN} %s (%s)]\n%s", "source", "law_name", "category", "source_type", "content")
-    entries = results.agg(F.sort_array(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("entries"))
+    entries = results.agg(_entries())
     joined = F.array_join(F.transform("entries", lambda e: e["entry"]), SEPARATOR)
     return entries.select(F.when(F.size("entries") == 0, NOT_FOUND).otherwise(joined).alias("context"))

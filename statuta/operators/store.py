@@ -16,10 +16,11 @@ ARTICLE_KEY = ("law_name", "article_no", "content_hash")
 
 
 def insert_status(batch: DataFrame, store: DataFrame, key: tuple[str, ...] = ARTICLE_KEY, order: str = "position") -> DataFrame:
-    """batch with `status`: inserted for the first row of a key that the store lacks, else skipped."""
+    """batch with `status`: inserted for the first row of a key that the store lacks, failed if a part of the key is null, else skipped."""
     first = F.row_number().over(Window.partitionBy(*key).orderBy(order))
+    whole = F.exists(F.array(*(F.col(c).isNull() for c in key)), lambda x: x)
     known = store.select(*key).distinct().withColumn("known", F.lit(True))
-    return batch.withColumn("nth", first).join(known, list(key), "left").withColumn("status", F.when(F.col("known").isNull() & (F.col("nth") == 1), "inserted").otherwise("skipped")).drop("nth", "known")
+    return batch.withColumn("nth", first).join(known, list(key), "left").withColumn("status", F.when(whole, "failed").when(F.col("known").isNull() & (F.col("nth") == 1), "inserted").otherwise("skipped")).drop("nth", "known")
 
 
 def inserted(status: DataFrame, next_id: int, order: str = "position") -> DataFrame:
@@ -46,11 +47,20 @@ def supersede(articles: DataFrame) -> DataFrame:
 
 
 def backfill(store: DataFrame, vectors: DataFrame, dimensions: int) -> DataFrame:
-    """store with vectors (id, embedding) where it has none, and `embed_status`: kept, embedded, failed or missing."""
+    """store with vectors (id, embedding) where it has none, and `embed_status`: kept, embedded, failed or missing.
+
+    Rows that got one have a new `updated_at`, if the store has that column.
+    """
     new = vectors.select("id", F.col("embedding").alias("new"))
     fits = F.coalesce(F.size("new") == dimensions, F.lit(False)) & F.col("new").isNotNull()
     status = F.when(F.col("embedding").isNotNull(), "kept").when(F.col("new").isNull(), "missing").when(fits, "embedded").otherwise("failed")
-    return store.join(new, "id", "left").withColumn("embed_status", status).withColumn("embedding", F.coalesce("embedding", F.when(fits, F.col("new")))).drop("new")
+    made = store.join(new, "id", "left").withColumn("embed_status", status).withColumn("embedding", F.coalesce("embedding", F.when(fits, F.col("new")))).drop("new")
+    return touched(made, F.col("embed_status") == "embedded") if "updated_at" in store.columns else made
+
+
+def touched(rows: DataFrame, changed: Column) -> DataFrame:
+    """rows with the present time as updated_at where they were changed."""
+    return rows.withColumn("updated_at", F.when(changed, F.current_timestamp()).otherwise(F.col("updated_at")))
 
 
 def pending(store: DataFrame, tax_type: str | None = None) -> DataFrame:
@@ -90,11 +100,17 @@ def listing(documents: DataFrame, *keys: str) -> DataFrame:
     return grouped.agg(F.count("*").alias("chunk_count"), F.date_format(F.min("created_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("uploaded_at"))
 
 
+def newest_first(listed: DataFrame, *keys: str) -> DataFrame:
+    """A listing with `place`: files from the newest on, those of one time by name, within the keys."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("uploaded_at"), "filename", "law_name", "category")
+    return listed.withColumn("place", F.row_number().over(order))
+
+
 def coverage(articles: DataFrame) -> DataFrame:
     return articles.groupBy("law_name").agg(F.count("*").alias("total"), F.count("embedding").alias("embedded"))
 
 
 def guard_upload(files: DataFrame, max_bytes: int) -> DataFrame:
     """files (path, length, text) with `reject_code`: 400 no PDF, 413 too large, 422 no text; null if accepted."""
-    code = F.when(~F.lower("path").endswith(".pdf"), 400).when(F.col("length") > max_bytes, 413).when(F.coalesce(F.trim("text"), F.lit("")) == "", 422)
+    code = F.when(~F.coalesce(F.lower("path").endswith(".pdf"), F.lit(False)), 400).when(F.col("length") > max_bytes, 413).when(F.coalesce(F.trim("text"), F.lit("")) == "", 422)
     return files.withColumn("reject_code", code)

@@ -41,32 +41,42 @@ def top_k(rows: DataFrame, vector: Sequence[float], k: int, id_column: str = "id
     return best.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
-def batch_top_k(rows: DataFrame, questions: DataFrame, k: int, id_column: str = "id") -> DataFrame:
+def matches(wanted: list[str | None], values: list[str | None]) -> np.ndarray:
+    """Which value each wanted one equals; null wants any."""
+    number = {v: i for i, v in enumerate(dict.fromkeys(v for v in wanted if v is not None))}
+    want = np.array([-1 if v is None else number[v] for v in wanted])
+    have = np.array([number.get(v, -2) for v in values])
+    return (want[:, None] == have) | (want[:, None] == -1)
+
+
+def batch_top_k(rows: DataFrame, questions: DataFrame, k: int, id_column: str = "id", same: Sequence[tuple[str, Column]] = ()) -> DataFrame:
     """(question_id, id, similarity, rank): of each question (question_id, embedding) the k nearest rows.
 
     Questions are a stated set, sent to the tasks in blocks. A task multiplies
     a batch of rows with a block and keeps the k best of each question, so that
     only k rows for each question and batch are shuffled. As in top_k, rows of
     another length than a question's, with null elements or of length zero are
-    not among its nearest.
+    not among its nearest. Of each pair in `same`, a row's text column has to
+    equal the question's, unless that is null.
     """
     spark = rows.sparkSession
-    asked = [(r["question_id"], r["embedding"]) for r in questions.where(F.col("embedding").isNotNull()).select("question_id", "embedding").orderBy("question_id").collect()]
+    bound = [of.alias(f"_same{i}") for i, (_, of) in enumerate(same)]
+    asked = [(r[0], r[1], r[2:]) for r in questions.where(F.col("embedding").isNotNull()).select("question_id", "embedding", *bound).orderBy("question_id").collect()]
     schema = "question_id long, id long, similarity double"
     found = spark.createDataFrame([], schema)
-    whole = rows.where(~F.exists("embedding", lambda x: x.isNull())).select(F.col(id_column).cast("long").alias("id"), "embedding")
+    whole = rows.where(~F.exists("embedding", lambda x: x.isNull())).select(F.col(id_column).cast("long").alias("id"), "embedding", *(F.col(c) for c, _ in same))
     by_length: dict[int, list] = {}
     for question in asked:
         if question[1] and None not in question[1]:
             by_length.setdefault(len(question[1]), []).append(question)
     for length, first in ((n, at) for n, same in by_length.items() for at in range(0, len(same), QUERY_BLOCK)):
         pairs, block = whole.where(F.size("embedding") == length), by_length[length][first : first + QUERY_BLOCK]
-        matrix = np.array([v for _, v in block], float)
+        matrix = np.array([v for _, v, _ in block], float)
         size = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast(([i for i, _ in block], np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)))
+        shared = spark.sparkContext.broadcast(([i for i, _, _ in block], np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0), [b for _, _, b in block]))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
+            ids, q, bounds = shared.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -74,6 +84,8 @@ def batch_top_k(rows: DataFrame, questions: DataFrame, k: int, id_column: str =
                 m = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
                 length = np.linalg.norm(m, axis=1)
                 s = q @ np.divide(m, length[:, None], out=np.full_like(m, np.nan), where=length[:, None] > 0).T
+                for i in range(len(bounds[0])):
+                    s[~matches([b[i] for b in bounds], batch.column(2 + i).to_pylist())] = np.nan
                 out_q, out_i, out_s = [], [], []
                 for question, line in zip(ids, s):
                     order = np.lexsort((row_ids, -np.round(line, RANK_DIGITS)))[:k]

@@ -420,3 +420,6 @@ def think_filter_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, 'data: {\"chunk\":\"' || replace(text, chr(10), '\\n') || '\"}' || chr(10) || chr(10) AS event FROM conversations")
 def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", think_filter.sse(F.col("text")).alias("event"))
+
+
+from statuta.plans import composed  # noqa: E402,F401  registers the queries of composed operators

@@ -3,7 +3,8 @@
     spark.dataSource.register(LawSearchSource)
     spark.read.format("law_search").options(keywords="세법,관세", pages=folder).load()
 
-The reply of a page comes from `pages`, a folder of files `<keyword>-<page>.xml`
+With `page` only that page is read (the exact hit of a name: `display=20`,
+`page=1` and operators.discovery.exact). The reply of a page comes from `pages`, a folder of files `<keyword>-<page>.xml`
 (offline), or from `url` with `api_key`.
 """
 
@@ -15,6 +16,8 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from statuta.schemas import LAW_SUMMARY
@@ -23,6 +26,11 @@ from statuta.sources.law_xml import SUMMARY_FIELDS, parse_search
 SCHEMA = f"keyword string, keyword_rank int, position int, {LAW_SUMMARY}, error string"
 
 
+def get(url: str, query: dict) -> str:
+    with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(query)}", timeout=30) as reply:
+        return reply.read().decode()
+
+
 class Keyword(InputPartition):
     def __init__(self, rank: int, keyword: str):
         self.rank, self.keyword = rank, keyword
@@ -48,6 +56,7 @@ class LawSearchReader(DataSourceReader):
         if not self.folder and not self.key:
             raise ValueError("an API key is needed to search online")
         self.per_page, self.cap, self.delay = int(options.get("display", 100)), int(options.get("max_results", 2000)), float(options.get("delay", 0 if self.folder else 0.3))
+        self.page = int(options["page"]) if "page" in options else None
 
     def partitions(self) -> list[InputPartition]:
         return [Keyword(i, k) for i, k in enumerate(self.keywords)]
@@ -59,15 +68,18 @@ class LawSearchReader(DataSourceReader):
                 return "<LawSearch/>"
             with open(path, encoding="utf-8") as f:
                 return f.read()
-        query = urllib.parse.urlencode({"OC": self.key, "target": "law", "type": "XML", "query": keyword, "display": self.per_page, "page": page})
-        with urllib.request.urlopen(f"{self.url}?{query}", timeout=30) as reply:
-            return reply.read().decode()
+        return get(self.url, {"OC": self.key, "target": "law", "type": "XML", "query": keyword, "display": self.per_page, "page": page})
+
+    def laws(self, keyword: str) -> Iterator[dict[str, str]]:
+        if self.page is not None:
+            return iter(parse_search(self.fetch(keyword, self.page))[0])
+        return pages(lambda p: self.fetch(keyword, p), self.per_page, self.cap, self.delay)
 
     def read(self, partition: Keyword) -> Iterator[tuple]:
         """Rows of a keyword; one that fails gives a single row with its error."""
         i = -1
         try:
-            for i, law in enumerate(pages(lambda p: self.fetch(partition.keyword, p), self.per_page, self.cap, self.delay)):
+            for i, law in enumerate(self.laws(partition.keyword)):
                 yield (partition.keyword, partition.rank, i, *(law[f] for f in SUMMARY_FIELDS), None)
         except Exception as e:  # noqa: BLE001  other keywords go on
             yield (partition.keyword, partition.rank, i + 1, *(None for _ in SUMMARY_FIELDS), f"{type(e).__name__}: {e}"[:500])
@@ -83,3 +95,29 @@ class LawSearchSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return LawSearchReader(self.options)
+
+
+def detail_of(url: str, key: str | None = None) -> Callable[[str], str]:
+    """A function from a law's number to its XML over HTTP; ValueError without a key."""
+    key = key or os.environ.get("LAW_API_KEY")
+    if not key:
+        raise ValueError("an API key is needed to read laws online")
+    return lambda mst: get(url, {"OC": key, "target": "law", "type": "XML", "MST": mst})
+
+
+def details(laws: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
+    """(mst, raw_xml, error) of each mst once; a law that fails has its error and no XML."""
+
+    def one(mst: str) -> tuple[str | None, str | None]:
+        try:
+            return fetch(mst), None
+        except Exception as e:  # noqa: BLE001  other laws go on
+            return None, f"{type(e).__name__}: {e}"[:500]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mst in batch.column(0).to_pylist():  # a law's XML is large, so each is a batch of its own
+                xml, error = one(mst)
+                yield pa.RecordBatch.from_arrays([pa.array([mst], pa.string()), pa.array([xml], pa.string()), pa.array([error], pa.string())], ["mst", "raw_xml", "error"])
+
+    return laws.select("mst").where("mst IS NOT NULL").distinct().mapInArrow(run, "mst string, raw_xml string, error string")

@@ -92,4 +92,25 @@ def parse_search(xml: str) -> tuple[list[dict[str, str]], int]:
     return laws, int(total.text.strip()) if total is not None and (total.text or "").strip() else 0
 
 
+def search_rows(replies: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, position, law fields, error) of search replies; a malformed one gives one row with its error."""
+    names, kind = [x.split()[0] for x in LAW_SUMMARY.split(", ")], dict(replies.dtypes)[key]
+
+    def laws(reply: str | None) -> list[tuple]:
+        try:
+            return [(i, *(law[n] for n in names), None) for i, law in enumerate(parse_search(reply or "")[0])]
+        except (ET.ParseError, ValueError) as e:
+            return [(0, *(None for _ in names), f"{type(e).__name__}: {e}"[:500])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [laws(x) for x in batch.column(1).to_pylist()]
+            index = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+            fields = list(zip(*(r for rows in found for r in rows))) or [[]] * (len(names) + 2)
+            kinds = [pa.int32(), *(pa.string() for _ in names), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), *(pa.array(f, k) for f, k in zip(fields, kinds))], [key, "position", *names, "error"])
+
+    return replies.select(key, xml).mapInArrow(run, f"`{key}` {kind}, position int, {LAW_SUMMARY}, error string")
+
+
 SUMMARY_FIELDS = tuple(x.split()[0] for x in LAW_SUMMARY.split(", "))

@@ -13,9 +13,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Chat = Callable[[list[str]], list[str]]
+#: Results (url, content) of one query, at most as many as named, from the domains named.
+Search = Callable[[str, int, tuple[str, ...]], list[dict]]
+# Where web searches look.
+DOMAINS = ("nts.go.kr", "law.go.kr", "moef.go.kr")
 
 
 class HashEmbedder:
@@ -52,15 +57,46 @@ def embed(rows: DataFrame, text: str, key: str, embedder: Embedder, batch: int =
 
 
 def reply(rows: DataFrame, prompt: str, key: str, chat: Chat) -> DataFrame:
-    """(key, reply): replies of a chat model; null where the call failed."""
+    """(key, reply): replies of a chat model; null where the call failed.
+
+    A batch that fails is asked again message by message, so that one bad message takes no other's reply.
+    """
     kind = dict(rows.dtypes)[key]
 
+    def alone(message: str) -> str | None:
+        try:
+            return chat([message])[0]
+        except Exception:  # noqa: BLE001
+            return None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            messages = [t or "" for t in batch.column(1).to_pylist()]
             try:
-                replies = chat([t or "" for t in batch.column(1).to_pylist()])
+                replies = chat(messages)
             except Exception:  # noqa: BLE001
-                replies = [None] * batch.num_rows
+                replies = [alone(m) for m in messages]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string())], [key, "reply"])
 
     return rows.select(key, prompt).mapInArrow(run, f"`{key}` {kind}, reply string")
+
+
+def web_search(rows: DataFrame, key: str, queries: str, search: Search, limit: int = 3, results: int = 3, domains: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """(key, query_idx, rank, url, content) of the first queries of each row; a query that fails gives none."""
+    asked = rows.select(key, F.posexplode(F.slice(queries, 1, limit)).alias("query_idx", "query"))
+    kind = dict(rows.dtypes)[key]
+
+    def found(query: str | None) -> list[dict]:
+        try:
+            return [r if isinstance(r, dict) else {} for r in search(query or "", results, domains)][:results]
+        except Exception:  # noqa: BLE001  other queries go on
+            return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [(i, rank, r.get("url"), r.get("content")) for i, q in enumerate(batch.column(2).to_pylist()) for rank, r in enumerate(found(q))]
+            at, rank, url, content = zip(*hits) if hits else ([], [], [], [])
+            taken = [batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(rank, pa.int32()), pa.array(url, pa.string()), pa.array(content, pa.string())], [key, "query_idx", "rank", "url", "content"])
+
+    return asked.mapInArrow(run, f"`{key}` {kind}, query_idx int, rank int, url string, content string")

@@ -122,6 +122,12 @@ def sse(chunk: Column) -> Column:
 SSE_END = "data: [DONE]\n\n"
 
 
+def sse_rows(chunks: DataFrame) -> DataFrame:
+    """(stream_id, seq, event): an event for each chunk, and the end of each stream behind its last one."""
+    events = chunks.select("stream_id", "seq", sse(F.col("chunk")).alias("event"))
+    return events.unionByName(chunks.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq")).withColumn("event", F.lit(SSE_END)))
+
+
 def parse_sse(bodies: DataFrame, key: str, body: str) -> DataFrame:
     """(key, place, chunk): events of a body up to [DONE]; others, bad JSON and an unfinished last event are left out."""
     events = F.split(F.col(body), "\n\n", -1)

@@ -166,3 +166,48 @@ def test_conversation(spark):
     results = spark.createDataFrame([("k", q, r, None if r else f"u{q}", "c" * 600) for q in range(4) for r in range(4)], "key string, query_idx int, rank int, url string, content string")
     web = conversation.web_text(results, "key").head()["web"]
     assert web.count("[출처: ") == 9 and web.count("c") == 9 * 500 and "[출처: ?]" in web and "u3" not in web
+
+
+def test_failed_and_updated_rows(spark):
+    batch = spark.createDataFrame([(1, "a", "1", "h"), (2, "a", None, "h"), (3, "a", "1", "h")], "position long, law_name string, article_no string, content_hash string")
+    assert [r["status"] for r in store.insert_status(batch, batch.limit(0)).orderBy("position").collect()] == ["inserted", "failed", "skipped"]
+    old = spark.createDataFrame([(1, None), (2, [1.0])], "id long, embedding array<float>").withColumn("updated_at", F.timestamp_seconds(F.lit(0)))
+    rows = {r["id"]: r for r in store.backfill(old, spark.createDataFrame([(1, [2.0]), (2, [3.0])], "id long, embedding array<float>"), 1).collect()}
+    assert rows[1]["updated_at"].year > 2000 and rows[2]["updated_at"].year < 2000 and rows[2]["embedding"] == [1.0]
+
+
+def test_tenant():
+    assert retrieval.tenant("6F9619FF8B86D011B42D00C04FC964FF") == "6f9619ff-8b86-d011-b42d-00c04fc964ff"
+    for bad in ("", "x"):
+        with pytest.raises(ValueError):
+            retrieval.tenant(bad)
+
+
+def test_chunks_of_a_tokenizer(spark):
+    letters = chunking.Tokenizer(lambda t: [ord(c) for c in t], lambda n: "".join(map(chr, n)))
+    df = spark.createDataFrame([(1, "abcdefg"), (2, ""), (3, None), (4, "ab")], "id int, text string")
+    made = chunking.chunk(df, "text", ["id"], 4, 1, letters).orderBy("id", "chunk_index").collect()
+    assert [(r["id"], r["content"]) for r in made] == [(1, "abcd"), (1, "defg"), (4, "ab")]
+
+
+def test_batch_search_keeps_to_its_scope(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "b"), (3, [1.0, 0.0], None)], "id long, embedding array<double>, kind string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "b"), (2, [1.0, 0.0], None), (3, [1.0, 0.0], "none")], "question_id long, embedding array<double>, k string")
+    found = vector.batch_top_k(rows, asked, 2, same=[("kind", F.col("k"))])
+    assert sorted((r["question_id"], r["id"]) for r in found.collect()) == [(1, 2), (2, 1), (2, 3)]
+
+
+def test_failed_calls_leave_other_questions(spark):
+    from statuta.operators import chat
+    from statuta.schemas import CHAT_LOGS
+
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise OSError
+        return ["<think>t</think>ok"] * len(prompts)
+
+    asked = spark.createDataFrame([(1, 7, "u", "bad", [1.0]), (2, 7, "u", "good", [1.0])], "question_id long, session_id string, user_id string, text string, embedding array<double>").repartition(2, "question_id")
+    law = spark.createDataFrame([], "id long, law_name string, law_type string, tax_type string, article_no string, article_title string, article_text string, source_url string, embedding array<float>, is_current boolean")
+    made = {r["question_id"]: r for r in chat.answers(asked, law, spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], CHAT_LOGS), model, search=lambda *a: []).collect()}
+    assert made[2]["answer"] == "<think>t</think>ok" and made[2]["web"] == conversation.WEB_SKIPPED and made[2]["label"] == "ALL"
+    assert made[1]["rag_answer"] is None and made[1]["answer"] is None

@@ -106,3 +106,32 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     for _ in range(2):
         write(spark.createDataFrame([(3, "a", "1", "h"), (4, "a", "2", "h")], schema), 1)
     assert sorted(r["position"] for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [1, 4]
+
+
+def test_single_page_and_details(spark, tmp_path):
+    (tmp_path / "가-1.xml").write_text(reply(["1"], 9), encoding="utf-8")
+    (tmp_path / "가-2.xml").write_text(reply(["2", "3"], 9), encoding="utf-8")
+    spark.dataSource.register(law_api.LawSearchSource)
+    rows = spark.read.format("law_search").options(keywords="가", pages=str(tmp_path), page="2").load().collect()
+    assert [r["mst"] for r in rows] == ["2", "3"]
+
+    def fetch(mst):
+        if mst == "2":
+            raise OSError("gone")
+        return f"<{mst}/>"
+
+    got = {r["mst"]: (r["raw_xml"], r["error"]) for r in law_api.details(spark.createDataFrame([("1",), ("1",), ("2",), (None,)], "mst string"), fetch).collect()}
+    assert got == {"1": ("<1/>", None), "2": (None, "OSError: gone")}
+    with pytest.raises(ValueError):
+        law_api.detail_of("http://localhost")
+
+
+def test_web_search(spark):
+    def search(query, results, domains):
+        if query == "b":
+            raise OSError
+        return [{"url": query, "content": domains[0]}, {}, {"url": "3"}, {"url": "4"}]
+
+    df = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, []), (3, None)], "id long, q array<string>")
+    found = sorted((r["id"], r["query_idx"], r["rank"]) for r in providers.web_search(df, "id", "q", search).collect())
+    assert found == [(1, q, r) for q in (0, 2) for r in range(3)]
