@@ -96,8 +96,8 @@ stored AS (SELECT DISTINCT o_orderkey, no, body FROM line WHERE l_linenumber = 1
 counted AS (SELECT o_orderkey, count(*) AS total, count(DISTINCT (no, body)) FILTER ((o_orderkey, no, body) NOT IN (SELECT (o_orderkey, no, body) FROM stored)) AS new FROM line GROUP BY 1),
 report AS (SELECT o_orderkey AS target_idx, 'law' || o_orderkey AS law_name, CASE WHEN o_orderstatus = 'P' THEN 'no law of exactly this name' WHEN o_orderkey % 5 = 0 THEN 'timeout' END AS error,
   CASE WHEN error IS NULL THEN coalesce(total, 0) END AS total_articles, CASE WHEN error IS NULL THEN coalesce(new, 0) END AS inserted_count,
-  CASE WHEN error IS NULL THEN coalesce(total - new, 0) END AS skipped_count, CASE WHEN error IS NULL THEN 0 END AS failed_count,
-  CASE WHEN error IS NULL THEN coalesce(new, 0) END AS embedded_count, CASE WHEN error IS NULL THEN 0 END AS embed_failed_count FROM orders LEFT JOIN counted USING (o_orderkey))"""
+  CASE WHEN error IS NULL THEN coalesce(total - new, 0) END AS skipped_count, CAST(CASE WHEN error IS NULL THEN 0 END AS BIGINT) AS failed_count,
+  CASE WHEN error IS NULL THEN coalesce(new, 0) END AS embedded_count, CAST(CASE WHEN error IS NULL THEN 0 END AS BIGINT) AS embed_failed_count FROM orders LEFT JOIN counted USING (o_orderkey))"""
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> ingestion.Ingested:
