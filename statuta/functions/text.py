@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: What Python's str.strip() takes off, as a character class.
-SPACES = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: What Python's str.strip() takes off.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Where lines end.
 LINE_END = r"\r\n|[\n\x{0B}\x{0C}\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
 INVISIBLE = r"[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{AD}]"
@@ -19,7 +19,8 @@ MAY_COMPOSE = r"[\p{M}\x{1100}-\x{11FF}\x{2126}\x{212A}\x{212B}\x{340}-\x{37E}\x
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{SPACES}+", ""), rf"{SPACES}+\z", "")
+    """Trimmed by a list of characters: a pattern that ends in \\z is tried at every run of spaces."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def clean_text(text: Column) -> Column:
