@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statuta.operators import conversation, retrieval, rules
+from statuta.options import DEFAULTS
 from statuta.shared import cut
 from statuta.sources import providers
 
@@ -50,9 +51,9 @@ def answers(
     label_chat: providers.Chat | None = None,
     label_rules: Iterable[tuple[str, str]] | None = None,
     prompts: Prompts = Prompts(),
-    k: int = 10,
-    threshold: float = 0.4,
-    turns: int = 3,
+    k: int = DEFAULTS.top_k,
+    threshold: float = DEFAULTS.similarity_threshold,
+    turns: int = DEFAULTS.history_turns,
 ) -> DataFrame:
     """(question_id, session_id, user_id, question, label, rag_answer, web, answer) of questions (question_id, session_id, user_id, text, embedding).
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statuta.options import DEFAULTS
 from statuta.schemas import GAP
 
 # Texts of prompts that are read back, and markers of skipped and empty web searches.
@@ -18,7 +19,7 @@ def message(role: str, content: Column) -> Column:
     return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
 
-def last_messages(logs: DataFrame, turns: int = 3, session: str = "session_id", order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
+def last_messages(logs: DataFrame, turns: int = DEFAULTS.history_turns, session: str = "session_id", order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
     """The last 2 * turns messages of each session, with `place` from the oldest on."""
     newest = Window.partitionBy(session).orderBy(*(F.desc(c) for c in order))
     kept = logs.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= 2 * turns)
@@ -60,7 +61,7 @@ def wants_search(gap: Column, has_key: bool = True) -> Column:
     return F.lit(has_key) & F.coalesce(gap["search_required"] & (F.size(gap["search_queries"]) > 0), F.lit(False))
 
 
-def web_text(results: DataFrame, key: str, queries: int = 3, per_query: int = 3, chars: int = 500) -> DataFrame:
+def web_text(results: DataFrame, key: str, queries: int = DEFAULTS.web_queries, per_query: int = DEFAULTS.web_results, chars: int = DEFAULTS.web_chars) -> DataFrame:
     """(key, web): the first results of the first queries as one text; results are (key, query_idx, rank, url, content)."""
     kept = results.where((F.col("query_idx") < queries) & (F.col("rank") < per_query))
     entry = F.concat(F.lit(SOURCE), F.coalesce("url", F.lit("?")), F.lit("]\n"), F.substring(F.coalesce("content", F.lit("")), 1, chars))

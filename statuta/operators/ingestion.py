@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from statuta.functions import text as T
 from statuta.operators import discovery, store
 from statuta.operators.rules import infer_tax_type
+from statuta.options import DEFAULTS
 from statuta.shared import cut
 from statuta.sources import law_xml, providers
 
@@ -48,7 +49,7 @@ def hits(wanted: DataFrame, results: DataFrame) -> DataFrame:
     return wanted.join(named, "law_name", "left")
 
 
-def ingest(wanted: DataFrame, results: DataFrame, details: DataFrame, stored: DataFrame, next_id: int, embedder: providers.Embedder | None = None, dimensions: int = 2560) -> Ingested:
+def ingest(wanted: DataFrame, results: DataFrame, details: DataFrame, stored: DataFrame, next_id: int, embedder: providers.Embedder | None = None, dimensions: int = DEFAULTS.dimensions) -> Ingested:
     """articles (with `status`), new ones (with id and vector), and a report row for each wanted law.
 
     wanted (target_idx, law_name, tax_type), results (position, law_name, mst,
@@ -81,7 +82,7 @@ def embeddings(articles: DataFrame, embedder: providers.Embedder) -> DataFrame:
     return cut(providers.embed(articles.select("id", text.alias("text")), "text", "id", embedder), "vectors")
 
 
-def backfill_pending(stored: DataFrame, embedder: providers.Embedder, dimensions: int, tax_type: str | None = None) -> DataFrame:
+def backfill_pending(stored: DataFrame, embedder: providers.Embedder, dimensions: int = DEFAULTS.dimensions, tax_type: str | None = None) -> DataFrame:
     """stored with vectors for all current articles that have none, of one tax type if given, and `embed_status`."""
     todo = store.with_ids(stored, store.pending(stored, tax_type))
     return store.backfill(stored, embeddings(todo, embedder), dimensions)

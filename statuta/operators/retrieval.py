@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from statuta.functions.text import or_else
 from statuta.operators import rules
 from statuta.operators.vector import batch_top_k, top_k
+from statuta.options import DEFAULTS
 
 DIGITS = 4
 # The sentence of an empty context, what stands between entries, the mark of a category.
@@ -78,14 +79,14 @@ def _merge(results: DataFrame, threshold: float, k: int, keys: Sequence[str]) ->
     return kept.select(*keys, "rank", *RESULT)
 
 
-def hybrid_search(law: DataFrame, documents: DataFrame, vector: Sequence[float], user_id: str, label: str | None = None, k: int = 10, threshold: float = 0.4) -> DataFrame:
+def hybrid_search(law: DataFrame, documents: DataFrame, vector: Sequence[float], user_id: str, label: str | None = None, k: int = DEFAULTS.top_k, threshold: float = DEFAULTS.similarity_threshold) -> DataFrame:
     """(rank, content, source, law_name, category, source_type, similarity_score, priority) for one question."""
     statutes = _source(top_k(law_candidates(law, label), vector, k), law_result(), 0)
     chunks = _source(top_k(document_candidates(documents, user_id, label), vector, k), document_result(), 1)
     return _merge(statutes.unionByName(chunks), threshold, k, ())
 
 
-def batch_hybrid_search(law: DataFrame, documents: DataFrame, questions: DataFrame, k: int = 10, threshold: float = 0.4, scoped: bool = False) -> DataFrame:
+def batch_hybrid_search(law: DataFrame, documents: DataFrame, questions: DataFrame, k: int = DEFAULTS.top_k, threshold: float = DEFAULTS.similarity_threshold, scoped: bool = False) -> DataFrame:
     """The same for many questions (question_id, embedding) over all labels and users.
 
     If scoped, each question (also label, user_id) sees its tax type's articles

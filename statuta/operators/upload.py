@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from statuta.operators import chunking, store
 from statuta.operators.rules import FILE_CATEGORY_RULES, FILE_LAW_RULES, Rules, classify_file
+from statuta.options import DEFAULTS
 from statuta.shared import cut
 from statuta.sources import providers
 
@@ -32,11 +33,11 @@ def upload(
     files: DataFrame,
     documents: DataFrame,
     embedder: providers.Embedder,
-    max_bytes: int,
+    max_bytes: int = DEFAULTS.max_upload_bytes,
     category_rules: Rules = FILE_CATEGORY_RULES,
     law_rules: Rules = FILE_LAW_RULES,
-    size: int = 800,
-    overlap: int = 100,
+    size: int = DEFAULTS.chunk_size,
+    overlap: int = DEFAULTS.chunk_overlap,
     tokenizer: chunking.Tokenizer | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents with the files' chunks in place of former ones, report) of files (file_id, path, length, text, user_id, uploader, reply).

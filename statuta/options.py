@@ -23,3 +23,7 @@ class Options:
     web_chars: int = 500
     max_upload_bytes: int = field(default_factory=lambda: int(os.environ.get("MAX_UPLOAD_MB", "50")) * 1024 * 1024)
     think_flush_chars: int = 30
+
+
+#: What operators use where nothing else is given.
+DEFAULTS = Options()

@@ -409,11 +409,15 @@ def web_results_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS stream_id, string_agg(text, '' ORDER BY turn) AS answer FROM conversations GROUP BY 1")
 def think_filter_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as streams of chunks behind a thought that ends within a chunk; the answers are the texts."""
+    """Conversations as streams of chunks; two of three have a thought whose marks are cut at changing places; the answers are the texts."""
     turns = read(spark, sf_dir, "conversations")
     first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1
-    content = F.when(first, F.concat(F.lit("<think>hidden</think>"), F.col("text"))).otherwise(F.col("text"))
-    lines = turns.select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("seq"), F.to_json(F.struct(F.struct(content.alias("content")).alias("message"))).alias("line"))
+    whole = F.when(first & (F.col("conv_id") % 3 > 0), F.concat(F.lit("<think>hidden</think>"), F.col("text"))).otherwise(F.col("text"))
+    at = (F.col("conv_id") % 20 + 1).cast("int")
+    pieces = F.array(F.substr(whole, F.lit(1), at), F.substr(whole, at + 1, F.lit(4)), F.substr(whole, at + 5))
+    cut = turns.select("conv_id", "turn", pieces.alias("pieces")).select("conv_id", "turn", F.posexplode("pieces").alias("piece", "content"))
+    line = F.to_json(F.struct(F.struct("content").alias("message")))
+    lines = cut.select(F.col("conv_id").cast("string").alias("stream_id"), (F.col("turn") * 3 + F.col("piece")).alias("seq"), line.alias("line"))
     return think_filter.answers(think_filter.filter_batch(lines))
 
 

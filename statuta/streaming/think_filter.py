@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OPEN, CLOSE, FLUSH = "<think>", "</think>", 30
+from statuta.options import DEFAULTS
+
+OPEN, CLOSE, FLUSH = "<think>", "</think>", DEFAULTS.think_flush_chars
 EMITTED = "stream_id string, seq long, chunk string"
 
 
