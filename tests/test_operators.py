@@ -211,3 +211,23 @@ def test_failed_calls_leave_other_questions(spark):
     made = {r["question_id"]: r for r in chat.answers(asked, law, spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], CHAT_LOGS), model, search=lambda *a: []).collect()}
     assert made[2]["answer"] == "<think>t</think>ok" and made[2]["web"] == conversation.WEB_SKIPPED and made[2]["label"] == "ALL"
     assert made[1]["rag_answer"] is None and made[1]["answer"] is None
+
+
+def test_targets_and_pending(spark):
+    from statuta.operators import ingestion
+    from statuta.sources import providers
+
+    assert [r["tax_type"] for r in ingestion.targets(spark).orderBy("target_idx").collect()] == list(ingestion.TARGETS)
+    results = spark.createDataFrame(
+        [(0, 0, "1", "소득세법", "국세청"), (1, 0, "1", "소득세법", "국세청"), (1, 1, "2", "관세법 시행령", "관세청"), (1, 2, "3", "민법", "법무부"), (2, 0, None, None, None)],
+        "keyword_rank int, position int, mst string, law_name string, ministry string",
+    )
+    assert [(r["law_name"], r["tax_type"]) for r in ingestion.found_targets(results).orderBy("target_idx").collect()] == [("소득세법", "소득세법"), ("관세법 시행령", "관세법")]
+    stored = spark.createDataFrame(
+        [(1, None, True, "a"), (2, None, False, "a"), (3, [1.0] * 4, True, "a"), (4, None, True, "b")], "id long, embedding array<float>, is_current boolean, tax_type string"
+    ).selectExpr("*", "'l' law_name", "'t' law_type", "'1' article_no", "'' article_title", "'x' article_text")
+    made = {r["id"]: r["embed_status"] for r in ingestion.backfill_pending(stored, providers.HashEmbedder(4), 4, "a").collect()}
+    assert made == {1: "embedded", 2: "missing", 3: "kept", 4: "missing"}
+    assert spark.range(1).select(ingestion.law_url(F.lit("7")).alias("u")).head()["u"] == "https://www.law.go.kr/lsInfoP.do?lsiSeq=7"
+    report = spark.createDataFrame([(1, "a", None), (2, "b", "e")], "target_idx long, law_name string, error string")
+    assert [r["law_name"] for r in ingestion.failures(report).collect()] == ["b"]
