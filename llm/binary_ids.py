@@ -31,7 +31,6 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,11 +54,12 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 PLACE = np.arange(4, dtype=np.uint8)
 #: Words in each of the two generations that a worker keeps.
 CACHE_WORDS = 700_000
+#: Marks that a word may end with, and be cut before.
 MARKS = ".,;:!?"
+#: Letters before this sign are letters in every version of Unicode that a tokenizer may have.
+OLD_SIGNS = "\u0500"
 #: Longest word that is kept.
 KEPT_CHARS = 100
-#: Letters, perhaps after a space: one match of the pattern, before and after which any line feed stands alone.
-PLAIN = re.compile(r" ?[^\W\d_]+")
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -105,20 +105,27 @@ def read_file(raw: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
         control, data, before = control + k, data + size, before + count
 
 
-def pieces(word: str) -> list[str]:
+def pieces(word: str) -> list[str] | None:
     """A word cut where the pattern cuts it for sure: at single line feeds, and between a letter or figure and the marks at
-    a line's end; the word itself if it is long or anything is unusual."""
+    a line's end. None if it holds other white space than those line feeds and a space before it."""
+    bare = word[word[0] == " " :]
+    lines = bare.split("\n")
+    if bare.split() != lines:
+        return None
+    lines[0] = word[: len(word) - len(bare)] + lines[0]
     out: list[str] = []
-    if len(word) > KEPT_CHARS:
-        return [word]
-    for k, part in enumerate(word.split("\n")):
-        core = part.rstrip(MARKS)
-        if not core or not core[-1].isalnum() or part.split() != [part if k else part.removeprefix(" ")]:
-            return [word]
-        out += ["\n"] * (k > 0) + [core] + [part[len(core) :]] * (len(core) < len(part))
+    for line in lines:
+        core = line.rstrip(MARKS)
+        end = core[-1:]
+        out += ["\n"] * bool(out) + ([core, line[len(core) :]] if end.isalnum() and end < OLD_SIGNS and len(core) < len(line) else [line])
     return out
 
 
+def slices(ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw = ids.tobytes()
+    return [raw[a:b] for a, b in zip((4 * begins).tolist(), (4 * ends).tolist())]
+
+
 def byte_signs() -> dict[int, str]:
     """The sign that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -135,69 +142,95 @@ class Ids:
     A byte-level tokenizer without normaliser splits texts by its pattern, in
     which a space after anything but white space begins a new match, a mark
     after a letter or figure does, and a single line feed between other signs
-    is one. So words are encoded once and kept, and a new word is put together
-    from its pieces. Texts that hold an added token, and texts of other
-    tokenizers, are encoded whole.
+    is one. So words are encoded once and kept, and a word with line feeds, or
+    marks at its end, is put together from its pieces. The library encodes the
+    new ones of a batch as one text: those that follow a space are parted at
+    the tokens that begin with it, the others at line feeds set between them;
+    letters alone are one match, and split at the space instead of by the
+    pattern. Words with other white space are encoded one by one; texts that
+    hold an added token, and texts of other tokenizers, whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        space, line_feed = BYTE_SIGNS[32], BYTE_SIGNS[10]
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
-        self.by_word = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.added = [t["content"] for t in made.get("added_tokens", [])]
+        self.by_word = (
+            (made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True))
+            and {space, line_feed} <= vocabulary.keys()
+            and not any(a != "".join(a.split()) for a in self.added)
+        )
+        self.line_feed = vocabulary.get(line_feed, -1)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids of tokens that begin with a space
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Split(space, "merged_with_next")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Plain words by the library's merges alone, which is what it does with one match; the others in whole."""
-        tokenize, plain = self.tokenizer.model.tokenize, PLAIN.fullmatch
-        done = {p: array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes() for p in pieces if plain(p)}
-        rest = [p for p in pieces if p not in done]
-        done.update(zip(rest, self._encode(rest)))
-        return done
-
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of new words into the young generation."""
-        young, old, plain = self.young, self.old, PLAIN.fullmatch
-        new = {w for w in words if plain(w)}
-        cut = [(w, pieces(w)) for w in words if w not in new]
-        for piece in {p for _, parts in cut for p in parts}:
-            if piece not in young:
-                if piece in old:
-                    young[piece] = old[piece]
-                else:
-                    new.add(piece)
-        young.update(self._encode_pieces(list(new)))
-        for word, parts in cut:
-            if len(parts) > 1:
-                young[word] = b"".join([young[p] for p in parts])
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: set[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words without white space but a space before them."""
+        bare = [w for w in words if w[0] != " "]
+        if bare:
+            ids = self._encode(["\n".join(bare)])[0]
+            ends = np.flatnonzero(ids == self.line_feed)
+            yield from zip(bare, slices(ids, np.append(0, ends + 1), np.append(ends, len(ids))), strict=True)
+        letters = [w for w in words if w[0] == " " and w[1:].isalpha() and (w.isascii() or max(w) < OLD_SIGNS)]
+        if letters:
+            text = "".join(letters).encode().decode("latin-1").translate(BYTE_SIGNS)
+            yield from self._parted(letters, np.array(self.letters.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
+        others = [*words.difference(bare, letters)]
+        if others:
+            yield from self._parted(others, self._encode(["".join(others)])[0])
+
+    def _parted(self, words: list[str], ids: np.ndarray) -> Iterator[tuple[str, bytes]]:
+        begins = np.flatnonzero(self.spaced[ids])
+        return zip(words, slices(ids, begins, np.append(begins[1:], len(ids))), strict=True)
+
+    def _learn(self, words: set[str]) -> set[str]:
+        """Put the ids of new words, and of their pieces, into the young generation; the pieces."""
+        young, old = self.young, self.old
+        cut, others, new = [], [], set()
+        for word in words:
+            if word[word[0] == " " :].isalpha():
+                new.add(word)
+            elif (parts := pieces(word)) is None:
+                others.append(word)
+            elif len(parts) == 1:
+                new.add(word)
+            else:
+                cut.append((word, parts))
+        found = set().union(*(parts for _, parts in cut)).difference(young)
+        again = found.intersection(old)
+        young.update((p, old[p]) for p in again)
+        young.update(self._encode_words(new | found - again))
+        young.update(zip(others, (x.tobytes() for x in self._encode(others))))
+        young.update((word, b"".join([young[p] for p in parts])) for word, parts in cut)
+        return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         whole = [not self.by_word or t.startswith(" ") or ACROSS.search(t) is not None or any(a in t for a in self.added) for t in texts]
-        out = [b""] * len(texts)
-        for i in (i for i, w in enumerate(whole) if w):
-            out[i] = self._encode([texts[i]])[0]
-        split = {i: texts[i].replace(" ", "\0 ").split("\0") if "\0" not in texts[i] else re.split("(?= )", texts[i]) for i, w in enumerate(whole) if not w}
+        words = [[] if w else t.replace(" ", "\0 ").split("\0") if "\0" not in t else re.split("(?= )", t) for t, w in zip(texts, whole)]
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        found = {i: list(map(young.get, words)) for i, words in split.items()}
-        fresh = {w for i, ids in found.items() if None in ids for w, x in zip(split[i], ids) if x is None}
-        if fresh:
-            young.update((w, old[w]) for w in fresh if w in old)
-            self._learn({w for w in fresh if w not in young})
-        for i, ids in found.items():
-            out[i] = b"".join([young[w] if x is None else x for w, x in zip(split[i], ids)] if None in ids else ids)
-        for word in fresh:
-            if len(word) > KEPT_CHARS:
-                del young[word]
+        fresh = set().union(*words).difference(young)
+        again = fresh.intersection(old)
+        young.update((w, old[w]) for w in again)
+        young["\n"], young[""] = np.array([self.line_feed], "<i4").tobytes(), b""
+        learned = self._learn(fresh.difference(again, ("", "\n")))
+        out = [self._encode([t])[0].tobytes() if w else b"".join(map(young.__getitem__, found)) for t, w, found in zip(texts, whole, words)]
+        for word in [w for some in (fresh, learned) for w in some if len(w) > KEPT_CHARS]:
+            young.pop(word, None)
         return out
 
 
