@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import binary_ids, bpe, chat, decontaminate, hamming, language, near_dedup, quality, rollup, toxicity
+from llm import binary_ids, bpe, bpe_automaton, chat, collocations, decontaminate, hamming, language, lexical_search, near_dedup, quality, rollup, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_binary_ids": binary_ids.op8_binary_ids,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_token_rollup": rollup.op10_token_rollup,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_bpe_automaton": bpe_automaton.op13_bpe_automaton,
+}
+SQL = {
+    "op4_chat_format": chat.OP4_SQL,
+    "op7_hamming_topk": hamming.OP7_SQL,
+    "op10_token_rollup": rollup.OP10_SQL,
+    "op11_collocations": collocations.OP11_SQL,
+    "op12_lexical_search": lexical_search.OP12_SQL,
 }
-SQL = {"op4_chat_format": chat.OP4_SQL, "op7_hamming_topk": hamming.OP7_SQL, "op10_token_rollup": rollup.OP10_SQL}
