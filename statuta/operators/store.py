@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statuta.functions.text import strip
 from statuta.shared import cut
 
 ARTICLE_KEY = ("law_name", "article_no", "content_hash")
@@ -100,6 +101,11 @@ def listing(documents: DataFrame, *keys: str) -> DataFrame:
     return grouped.agg(F.count("*").alias("chunk_count"), F.date_format(F.min("created_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("uploaded_at"))
 
 
+def in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """rows with `place`, from 1 on in that order within the keys; nulls come first."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def newest_first(listed: DataFrame, *keys: str) -> DataFrame:
     """A listing with `place`: files from the newest on, those of one time by name, within the keys."""
     order = Window.partitionBy(*keys).orderBy(F.desc("uploaded_at"), "filename", "law_name", "category")
@@ -111,6 +117,6 @@ def coverage(articles: DataFrame) -> DataFrame:
 
 
 def guard_upload(files: DataFrame, max_bytes: int) -> DataFrame:
-    """files (path, length, text) with `reject_code`: 400 no PDF, 413 too large, 422 no text; null if accepted."""
-    code = F.when(~F.coalesce(F.lower("path").endswith(".pdf"), F.lit(False)), 400).when(F.col("length") > max_bytes, 413).when(F.coalesce(F.trim("text"), F.lit("")) == "", 422)
+    """files (path, length, text) with `reject_code`: 400 no PDF, 413 too large, 422 nothing but white space; null if accepted."""
+    code = F.when(~F.coalesce(F.lower("path").endswith(".pdf"), F.lit(False)), 400).when(F.col("length") > max_bytes, 413).when(F.coalesce(strip(F.col("text")), F.lit("")) == "", 422)
     return files.withColumn("reject_code", code)

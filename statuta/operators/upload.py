@@ -44,7 +44,8 @@ def upload(
 
     The report has a row for each file: file_id, filename, reject_code,
     category, law_name, chunks_stored, status (ok, rejected or failed). A file
-    of which any chunk got no vector is not stored and keeps its former chunks.
+    of which any chunk got no vector is not stored and keeps its former chunks;
+    so does one that gives no chunk at all, which is rejected with code 422.
     Of several accepted files of one name and user the one of the highest
     file_id is stored; the others are replaced by it.
     """
@@ -55,8 +56,9 @@ def upload(
     vectors = cut(providers.embed(chunks, "content", "chunk_id", embedder), "vectors")
     whole = chunks.join(vectors, "chunk_id")
     fate = whole.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if(F.col("embedding").isNull()).alias("lost"))
-    state = F.when(F.col("reject_code").isNotNull(), "rejected").when(F.coalesce("lost", F.lit(0)) > 0, "failed").otherwise("ok")
-    report = cut(checked.drop("text").join(fate, "file_id", "left").withColumn("status", state), "report")
+    code = F.coalesce("reject_code", F.when(F.col("n").isNull(), 422))
+    state = F.when(F.col("reject_code").isNotNull(), "rejected").when(F.col("lost") > 0, "failed").otherwise("ok")
+    report = cut(checked.drop("text").join(fate, "file_id", "left").withColumn("reject_code", code).withColumn("status", state), "report")
     ok = report.where(F.col("status") == "ok")
     latest = ok.groupBy("path", "user_id").agg(F.max_by("file_id", "file_id").alias("file_id"))
     kept = ok.join(latest.select("file_id"), "file_id", "left_semi")

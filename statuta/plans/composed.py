@@ -137,22 +137,22 @@ def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- uploads
 
 _FILES = r"""f AS (SELECT page_id AS file_id, CASE WHEN page_id % 4 = 0 THEN 'page' || page_id || '.txt' ELSE 'page' || page_id // 2 || '.PDF' END AS filename, length(html) AS n,
-  CASE WHEN page_id % 9 = 0 THEN ' ' ELSE html END AS text FROM pages),
-w AS (SELECT *, CASE WHEN page_id4 THEN 400 WHEN n > 2000 THEN 413 WHEN trim(text) = '' THEN 422 END AS reject_code,
+  CASE WHEN page_id % 9 = 0 THEN chr(10) || ' ' || chr(160) || chr(12288) || chr(10) ELSE html END AS text FROM pages),
+w AS (SELECT *, CASE WHEN page_id4 THEN 400 WHEN n > 2000 THEN 413 WHEN regexp_replace(text, '[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g') = '' THEN 422 END AS reject_code,
   len(list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda x: x <> '')) AS words FROM (SELECT *, filename LIKE '%.txt' AS page_id4 FROM f)),
 report AS (SELECT file_id, filename, CAST(reject_code AS INTEGER) AS reject_code,
   CASE WHEN contains(filename, 'page1') THEN 'A' WHEN file_id % 3 < 2 THEN 'c' ELSE '기타' END AS category,
   CASE WHEN contains(filename, '9') THEN 'L' WHEN file_id % 3 = 0 THEN 'l' ELSE '공통' END AS law_name,
-  CASE WHEN reject_code IS NOT NULL OR words = 0 THEN 0 ELSE greatest(1, CAST(ceil((words - 10) / 40.0) AS BIGINT)) END AS chunks_stored,
+  CASE WHEN reject_code IS NOT NULL THEN 0 ELSE greatest(1, CAST(ceil((words - 10) / 40.0) AS BIGINT)) END AS chunks_stored,
   CASE WHEN reject_code IS NULL THEN 'ok' ELSE 'rejected' END AS status FROM w)"""
 
 
 def _uploaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pages as uploads of one user: no PDF, too large, empty, of one name in pairs; the store has files of such names."""
+    """Pages as uploads of one user: no PDF, too large, nothing but white space, of one name in pairs; the store has files of such names."""
     i = F.col("page_id")
     path = F.when(i % 4 == 0, F.concat(F.lit("page"), i.cast("string"), F.lit(".txt"))).otherwise(F.concat(F.lit("page"), F.floor(i / 2).cast("string"), F.lit(".PDF")))
     reply = F.when(i % 3 == 0, '{"category": "c", "law_name": "l"}').when(i % 3 == 1, '{"category": "c"}').otherwise("none")
-    files = read(spark, sf_dir, "pages").select(i.alias("file_id"), path.alias("path"), F.length("html").alias("length"), F.when(i % 9 == 0, " ").otherwise(F.col("html")).alias("text"), F.lit(USER).alias("user_id"), F.lit("u").alias("uploader"), reply.alias("reply"))
+    files = read(spark, sf_dir, "pages").select(i.alias("file_id"), path.alias("path"), F.length("html").alias("length"), F.when(i % 9 == 0, "\n \u00a0\u3000\n").otherwise(F.col("html")).alias("text"), F.lit(USER).alias("user_id"), F.lit("u").alias("uploader"), reply.alias("reply"))
     named = F.col("metadata").withField("source", F.concat(F.lit("page"), _string("id"), F.lit(".PDF")))
     stored = tables.user_documents(spark, sf_dir).withColumn("metadata", named)
     return upload.upload(files, stored, providers.HashEmbedder(8), 2000, (("page1", "A"),), (("9", "L"),), 50, 10)
