@@ -1,18 +1,20 @@
 """Operator 11: collocations by growing contiguous patterns from frequent prefixes.
 
-A document's pieces are words in a row. Under a prefix stand its occurrences,
-each with the words that follow it in its piece, as far as the longest phrase
-reaches: the projection of the corpus on that prefix. The first projection has
-one word a prefix; its rows hold the occurrences of a prefix in one chunk of
-texts, so rows are written for each chunk and word and not for each occurrence.
-
-A prefix of up to `group` occurrences is one task's work: pointers into its
-text are grouped by the word they point at, and each frequent extension is
-grown to the right, depth first, with its own pointers moved on by a word. More
-frequent prefixes are first projected on by one word across the cluster, so that
-their parts are dealt out anew. No prefix is mined in a task that has more than
-`group` occurrences, or a WIDE-th of all words where that is more; so at most
-WIDE prefixes a level are too large, and only those are broadcast.
+A document's pieces are words in a row. An occurrence of a prefix stands for
+itself with the words that follow it in its piece, as far as the longest phrase
+reaches: its window. The projection of the corpus deals the windows out by the
+hash of their first word, BUCKET_BYTES of text to a bucket; a row holds, packed,
+all windows of one bucket in one chunk of texts, so there are not as many rows
+as occurrences.
+
+A bucket is one task's work: pointers into its text are grouped by the word
+they point at, and each frequent prefix is grown to the right, depth first, with
+its own pointers moved on by a word. In a bucket of more than twice `group`
+windows a prefix is very frequent. There the prefixes themselves are counted by
+partial sums, and the windows are dealt out anew by the hash of one word more,
+into as many buckets as they have times `group`; these go through the same
+again. `group` is a WIDE-th of all words where that is more, so at most WIDE
+buckets are too large at once, and only their numbers are broadcast.
 
 Scores are exact: their products are decimals of 38 digits.
 
@@ -23,11 +25,14 @@ table gives an empty result; columns besides lang and text are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +41,10 @@ from llm.common import cut, dealt, discard, table
 MIN_COUNT, MAX_WORDS, TOP_K = 100, 5, 2000
 #: A candidate goes if a longer one around it has so many hundredths of its occurrences.
 COVERED = 100
-#: Occurrences that one task mines by itself, and the most prefixes a level that can have more.
-GROUP, WIDE = 50_000, 2_000_000
+#: Windows that one task mines by itself, and the most buckets that can have more.
+GROUP, WIDE = 1_000_000, 2_000_000
+#: Bytes of text whose windows make a bucket of the first projection.
+BUCKET_BYTES = 4 << 20
 #: Bytes of text that are projected at once.
 CHUNK = 4 << 20
 #: Ranges of hashes among which a language's best are sought before they meet.
@@ -45,7 +52,7 @@ SALTS = 64
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Marks and line ends end a piece, a tab is a space, and only A-Z have another case.
 BYTES = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-PROJECTION = "lang string, prefix string, n long, after binary"
+PROJECTION = "lang string, bucket long, n long, windows binary"
 PATTERN = "lang string, phrase string, words int, f long"
 
 
@@ -56,72 +63,99 @@ def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.append(0, ends[:-1] + 1), ends, signs[ends] == 10
 
 
-def projected(lang: str, text: bytes) -> pa.RecordBatch:
-    """The first projection of a chunk of texts: a row for each word."""
-    pieces = (b" ".join(piece.split()) for piece in text.split(b"\n"))
-    text = b"".join([piece + b"\n" for piece in pieces if piece])
-    _, ends, last = words_of(text) if text else (np.zeros(0, int),) * 3
-    words = text.split()
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    ids = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
-    line_ends = np.flatnonzero(last)
-    at = np.arange(len(words))
-    reach = np.minimum(at + MAX_WORDS - 1, line_ends[np.searchsorted(line_ends, at)] if len(words) else at)
-    order = np.argsort(ids, kind="stable")
-    begin, end = ends[order] + 1, ends[reach[order]]
-    some = begin <= end
-    after = b"".join([text[a:b] + b"\n" for a, b in zip(begin[some].tolist(), end[some].tolist())])
-    bounds = np.append(np.flatnonzero(np.diff(ids[order], prepend=-1)), len(order))
-    offsets = np.append(0, np.cumsum(np.where(some, end - begin + 1, 0)))[bounds].astype(np.int32)
-    contexts = pa.Array.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(offsets), pa.py_buffer(after)])
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(number)), pa.array([w.decode() for w in number]), pa.array(np.diff(bounds)), contexts], ["lang", "prefix", "n", "after"])
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """(lang, pieces, each with a line feed) of rows (lang, text), in chunks of one language."""
+    waiting: dict[str, list[bytes]] = {}
+    size: Counter[str] = Counter()
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            raw = (text.as_py() or "").encode().translate(BYTES) + b"\n"
+            while raw:  # a long text goes in parts that end with a piece
+                upto = raw.find(b"\n", CHUNK) + 1 or len(raw)
+                part, raw = raw[:upto], raw[upto:]
+                waiting.setdefault(lang, []).append(part)
+                size[lang] += len(part)
+                if size[lang] >= CHUNK:
+                    yield lang, b"".join(waiting.pop(lang))
+                    size[lang] = 0
+    for lang, parts in waiting.items():
+        yield lang, b"".join(parts)
+
+
+def texts(documents: DataFrame) -> DataFrame:
+    return dealt(documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text"))
+
+
+def packed(lang: str, buckets: np.ndarray, counts: np.ndarray, windows: list[bytes]) -> pa.RecordBatch:
+    """A row for each bucket, whose windows stand one behind the other."""
+    ends = np.append(0, np.cumsum(counts)).tolist()
+    pack = zstandard.ZstdCompressor(level=1).compress
+    blobs = [pack(b"\n".join([*windows[a:b], b""])) for a, b in zip(ends, ends[1:])]
+    columns = [pa.array([lang] * len(blobs), pa.string()), pa.array(buckets, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n", "windows"])
+
+
+def unpacked(windows: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(windows.as_py())
+
 
+def dealt_windows(lang: str, windows: list[bytes], buckets: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(buckets, kind="stable")
+    found, counts = np.unique(buckets, return_counts=True)
+    return packed(lang, found, counts, [windows[i] for i in order.tolist()])
 
-def project(documents: DataFrame) -> DataFrame:
-    """Occurrences of each word in each chunk, with what follows them: (lang, prefix, n, after)."""
+
+def project(documents: DataFrame, buckets: int) -> DataFrame:
+    """The windows of all words by the hash of the word: (lang, bucket, n, windows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, text in chunks(batches):
+            pieces = (b" ".join(piece.split()) for piece in text.split(b"\n"))
+            text = b"".join([piece + b"\n" for piece in pieces if piece])
+            if not text:
+                continue
+            words = text.split()
+            begin, ends, last = words_of(text)
+            line_ends, at = np.flatnonzero(last), np.arange(len(words))
+            stops = ends[np.minimum(at + MAX_WORDS - 1, line_ends[np.searchsorted(line_ends, at)])]
+            windows = [text[a:b] for a, b in zip(begin.tolist(), stops.tolist())]
+            hashes = {w: zlib.crc32(w) % buckets for w in set(words)}
+            yield dealt_windows(lang, windows, np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)))
+
+    return texts(documents).mapInArrow(run, PROJECTION)
+
+
+def project_on(large: DataFrame, length: int) -> DataFrame:
+    """Windows of large buckets (with their `parts`) by the hash of their first `length` words; shorter ones have nothing more to give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list[bytes]] = {}
-        size: Counter[str] = Counter()
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = (text.as_py() or "").encode().translate(BYTES) + b"\n"
-                while raw:  # a long text goes in parts that end with a piece
-                    upto = raw.find(b"\n", CHUNK) + 1 or len(raw)
-                    part, raw = raw[:upto], raw[upto:]
-                    waiting.setdefault(lang, []).append(part)
-                    size[lang] += len(part)
-                    if size[lang] >= CHUNK:
-                        yield projected(lang, b"".join(waiting.pop(lang)))
-                        size[lang] = 0
-        for lang, parts in waiting.items():
-            yield projected(lang, b"".join(parts))
+            for lang, bucket, blob, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4).to_pylist()):
+                split = [(w, w.split(b" ", length)) for w in unpacked(blob).split(b"\n")[:-1]]
+                windows = [(w, b" ".join(words[:length])) for w, words in split if len(words) >= length]
+                # Buckets that get one number by chance are mined together, which does no harm.
+                numbers = [(bucket * 1_000_003 + zlib.crc32(first) % parts + 1) & (1 << 62) - 1 for _, first in windows]
+                yield dealt_windows(lang, [w for w, _ in windows], np.array(numbers, np.int64))
 
-    return dealt(documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")).mapInArrow(run, PROJECTION)
+    return large.mapInArrow(run, PROJECTION)
 
 
-def project_on(level: DataFrame) -> DataFrame:
-    """The projection on prefixes that are longer by a word."""
+def count_prefixes(large: DataFrame, length: int, min_count: int) -> DataFrame:
+    """(lang, phrase, words, f) of the frequent prefixes of `length` words in large buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, prefix, after in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)):
-                found: dict[bytes, list[bytes]] = {}
-                for context in after.as_py().split(b"\n")[:-1]:
-                    word, _, rest = context.partition(b" ")
-                    found.setdefault(word, []).append(rest)
-                yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([lang] * len(found), pa.string()),
-                    "prefix": pa.array([f"{prefix} {w.decode()}" for w in found], pa.string()),
-                    "n": pa.array(list(map(len, found.values())), pa.int64()),
-                    "after": pa.array([b"".join([r + b"\n" for r in rests if r]) for rests in found.values()], pa.binary()),
-                })
+            for lang, blob in zip(batch.column(0).to_pylist(), batch.column(3)):
+                split = (w.split(b" ", length) for w in unpacked(blob).split(b"\n")[:-1])
+                counts = Counter(b" ".join(words[:length]) for words in split if len(words) >= length)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(counts), pa.string()), "phrase": pa.array([w.decode() for w in counts], pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
-    return level.mapInArrow(run, PROJECTION)
+    counted = large.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    return counted.where(F.col("f") >= min_count).select("lang", "phrase", F.lit(length).alias("words"), "f")
 
 
 def grow(text: bytes, words: tuple[np.ndarray, np.ndarray, np.ndarray], pointers: np.ndarray, prefix: str, length: int, min_count: int) -> Iterator[tuple[str, int, int]]:
-    """(phrase, words, occurrences) of the frequent phrases that go on from a prefix; pointers: the word behind each of its occurrences."""
+    """(phrase, words, occurrences) of the frequent phrases that go on from a prefix of `length` words; pointers: the word behind each of its occurrences."""
     begin, end, last = words
     following = [text[a:b] for a, b in zip(begin[pointers].tolist(), end[pointers].tolist())]
     counts = {w: n for w, n in Counter(following).items() if n >= min_count}
@@ -130,7 +164,7 @@ def grow(text: bytes, words: tuple[np.ndarray, np.ndarray, np.ndarray], pointers
     order = np.argsort(ids, kind="stable")
     at = len(ids) - sum(counts.values())  # the others come first
     for word, n in counts.items():
-        phrase, mine = f"{prefix} {word.decode()}", pointers[order[at : at + n]]
+        phrase, mine = prefix + " " * (length > 0) + word.decode(), pointers[order[at : at + n]]
         at += n
         yield phrase, length + 1, n
         mine = mine[~last[mine]] + 1
@@ -139,50 +173,45 @@ def grow(text: bytes, words: tuple[np.ndarray, np.ndarray, np.ndarray], pointers
 
 
 def mine(level: DataFrame, length: int, min_count: int) -> DataFrame:
-    """Frequent phrases (lang, phrase, words, f) of each prefix of a projection, the prefix among them; one prefix, one task."""
+    """Frequent phrases (lang, phrase, words, f) of `length` words and more in each bucket, one task's work, dealt by their first `length` words."""
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        lang, prefix = key[0].as_py(), key[1].as_py()
-        found = [(prefix, length, sum(rows["n"].to_pylist()))]
-        if text := b"".join(rows["after"].to_pylist()):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)))
+        for (lang, _), same in groupby(rows, key=lambda r: r[:2]):
+            text = b"".join([unpacked(blob) for *_, blob in same])
             words = words_of(text)
             first = np.append(0, np.flatnonzero(words[2])[:-1] + 1)
-            found += grow(text, words, first, prefix, length, min_count)
-        phrases, lengths, counts = zip(*found)
-        return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "phrase": pa.array(phrases, pa.string()), "words": pa.array(lengths, pa.int32()), "f": pa.array(counts, pa.int64())})
+            if found := [x for x in grow(text, words, first, "", 0, min_count) if x[1] >= length]:
+                phrases, lengths, counts = zip(*found)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(found), pa.string()), "phrase": pa.array(phrases, pa.string()), "words": pa.array(lengths, pa.int32()), "f": pa.array(counts, pa.int64())})
 
-    return level.groupBy("lang", "prefix").applyInArrow(run, PATTERN)
+    return level.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(run, PATTERN)
 
 
-def frequent_phrases(documents: DataFrame, min_count: int = MIN_COUNT, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(documents: DataFrame, min_count: int = MIN_COUNT, group: int = GROUP, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """(phrases (lang, phrase, words, f) of 1 to MAX_WORDS words with f >= min_count, words of each language (lang, n))."""
-    level, found, n = cut(project(documents), "projection"), [], None
+    size = documents.agg(F.sum(F.octet_length("text")).alias("bytes")).head()["bytes"] or 0
+    level, key = cut(project(documents, 1 + size // bucket_bytes), "projection"), ["lang", "bucket"]
+    totals = cut(level.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    group = max(group, (totals.agg(F.sum("n").alias("n")).head()["n"] or 0) // WIDE)
+    found = []
     for length in range(1, MAX_WORDS + 1):
-        counts = cut(level.groupBy("lang", "prefix").agg(F.sum("n").alias("f")), "counts")
-        if n is None:
-            n = cut(counts.groupBy("lang").agg(F.sum("f").alias("n")), "words")
-            large = max(group, (n.agg(F.sum("n").alias("n")).head()["n"] or 0) // WIDE)
-        whole = counts.where(F.col("f") >= min_count)
-        as_found = whole.select("lang", F.col("prefix").alias("phrase"), F.lit(length).alias("words"), "f")
-        if length == MAX_WORDS:  # nothing is left to grow
-            found.append(cut(as_found, "phrases"))
-            discard(level, counts)
-            break
-        wide = whole.where(F.col("f") > large).select("lang", "prefix")  # WIDE rows at most, by their counts
-        narrow = whole.where(F.col("f") <= large).select("lang", "prefix")
-        rows = level.join(F.broadcast(wide), ["lang", "prefix"], "left_anti").join(narrow, ["lang", "prefix"], "left_semi")
-        found.append(cut(mine(rows, length, min_count), "phrases"))
+        sizes = level.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") > 2 * group)
+        wide = cut(sizes.select(*key, F.ceil(F.col("f") / group).cast("int").alias("parts")), "wide")  # WIDE rows at most, by their sizes
+        found.append(cut(mine(level.join(F.broadcast(wide), key, "left_anti").select(*level.columns), length, min_count), "phrases"))
         if wide.isEmpty():
-            discard(level, counts)
             break
-        found.append(cut(as_found.where(F.col("f") > large), "phrases"))
-        deeper = cut(project_on(level.join(F.broadcast(wide), ["lang", "prefix"], "left_semi")), "projection")
-        discard(level, counts)
-        level = deeper
+        large = level.join(F.broadcast(wide), key).select(*level.columns, "parts")
+        found.append(cut(count_prefixes(large, length, min_count), "phrases"))
+        if length < MAX_WORDS:
+            deeper = cut(project_on(large, length + 1), "projection")
+            discard(level)
+            level = deeper
+    discard(level)
     phrases = found[0]
-    for part in found[1:]:
-        phrases = phrases.unionByName(part)
-    return phrases, n
+    for more in found[1:]:
+        phrases = phrases.unionByName(more)
+    return phrases, totals
 
 
 def exact_score(a: str, n: str, left: str, right: str) -> Column:
@@ -195,9 +224,9 @@ def part(words: Column, first: Column | int, count: Column) -> Column:
     return F.array_join(F.slice(words, first, count), " ")
 
 
-def collocations(documents: DataFrame, min_count: int = MIN_COUNT, k: int = TOP_K, covered: int = COVERED, group: int = GROUP) -> DataFrame:
+def collocations(documents: DataFrame, min_count: int = MIN_COUNT, k: int = TOP_K, covered: int = COVERED, group: int = GROUP, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's k best phrases of 2 to MAX_WORDS words."""
-    phrases, totals = frequent_phrases(documents, min_count, group)
+    phrases, totals = frequent_phrases(documents, min_count, group, bucket_bytes)
     candidates = phrases.where(F.col("words") >= 2).withColumn("w", F.split("phrase", " "))
     cuts = candidates.select("lang", "phrase", F.col("f").alias("a"), "words", "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", part(F.col("w"), 1, F.col("k")).alias("first"), part(F.col("w"), F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
