@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions.text import or_else
 from statuta.operators import rules
-from statuta.operators.vector import batch_top_k, top_k
+from statuta.operators.vector import batch_top_k, scoped_top_k, top_k
 from statuta.options import DEFAULTS
 
 DIGITS = 4
@@ -98,7 +98,7 @@ def batch_hybrid_search(law: DataFrame, documents: DataFrame, questions: DataFra
         label = F.when(F.col("label") != rules.ALL, F.col("label"))
         best_law = batch_top_k(law_candidates(law), questions, k, same=[("tax_type", label)])
         asked = questions.where(F.coalesce("user_id", F.lit("")) != "")
-        best_chunks = batch_top_k(chunks.withColumn("_law", F.col("metadata.law_name")), asked, k, same=[("user_id", F.col("user_id")), ("_law", label)])
+        best_chunks = scoped_top_k(chunks.withColumn("_law", F.col("metadata.law_name")), asked, k, ("user_id", F.col("user_id")), same=[("_law", label)])
     else:
         best_law, best_chunks = batch_top_k(law_candidates(law), questions, k), batch_top_k(chunks, questions, k)
     keys = ["question_id"]

@@ -197,6 +197,24 @@ def test_batch_search_keeps_to_its_scope(spark):
     assert sorted((r["question_id"], r["id"]) for r in found.collect()) == [(1, 2), (2, 1), (2, 3)]
 
 
+@pytest.mark.parametrize("row_block, query_block", [(20_000, 1024), (7, 3)])
+def test_scoped_search_equals_the_masked_one(spark, monkeypatch, row_block, query_block):
+    monkeypatch.setattr(vector, "ROW_BLOCK", row_block)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", query_block)
+    rng = random.Random(3)
+    made = lambda n: [rng.choice([0.0, 1.0, 2.0, -1.0]) for _ in range(n)]
+    users = ["a"] * 8 + ["b", "c", None]
+    rows = [(i, made(rng.choice([3, 3, 2])), rng.choice(users), rng.choice("xy")) for i in range(150)] + [(900, None, "a", "x"), (901, [1.0, None, 1.0], "a", "x"), (902, [], "a", "x")]
+    asked = [(i, made(3), rng.choice(["a", "b", "nobody"]), rng.choice(["x", None])) for i in range(20)]
+    rows = spark.createDataFrame(rows, "id long, embedding array<double>, user string, law string")
+    asked = spark.createDataFrame(asked, "question_id long, embedding array<double>, u string, l string")
+    found = vector.scoped_top_k(rows, asked, 4, ("user", F.col("u")), same=[("law", F.col("l"))])
+    wanted = vector.batch_top_k(rows, asked, 4, same=[("user", F.col("u")), ("law", F.col("l"))])
+    plain = lambda df: sorted((r["question_id"], r["rank"], r["id"], round(r["similarity"], 9)) for r in df.collect())
+    assert plain(found) == plain(wanted) and len(plain(found)) > 30
+    assert vector.scoped_top_k(rows.limit(0), asked, 4, ("user", F.col("u"))).collect() == []
+
+
 def test_failed_calls_leave_other_questions(spark):
     from statuta.operators import chat
     from statuta.schemas import CHAT_LOGS
