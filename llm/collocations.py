@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -42,11 +42,11 @@ MIN_COUNT, MAX_WORDS, TOP_K = 100, 5, 2000
 #: A candidate goes if a longer one around it has so many hundredths of its occurrences.
 COVERED = 100
 #: Windows that one task mines by itself, and the most buckets that can have more.
-GROUP, WIDE = 1_000_000, 2_000_000
+GROUP, WIDE = 400_000, 2_000_000
 #: Bytes of text whose windows make a bucket of the first projection.
 BUCKET_BYTES = 4 << 20
 #: Bytes of text that are projected at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Ranges of hashes among which a language's best are sought before they meet.
 SALTS = 64
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -59,8 +59,8 @@ PATTERN = "lang string, phrase string, words int, f long"
 def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each word begins and ends, and whether its line ends with it; words are apart by one space or line feed, which ends the text, too."""
     signs = np.frombuffer(text, np.uint8)
-    ends = np.flatnonzero((signs == 32) | (signs == 10))
-    return np.append(0, ends[:-1] + 1), ends, signs[ends] == 10
+    ends = np.flatnonzero((signs == 32) | (signs == 10)).astype(np.int32 if len(text) < 1 << 31 else np.int64)
+    return np.append(ends.dtype.type(0), ends[:-1] + 1), ends, signs[ends] == 10
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
@@ -86,11 +86,12 @@ def texts(documents: DataFrame) -> DataFrame:
     return dealt(documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text"))
 
 
-def packed(lang: str, buckets: np.ndarray, counts: np.ndarray, windows: list[bytes]) -> pa.RecordBatch:
-    """A row for each bucket, whose windows stand one behind the other."""
-    ends = np.append(0, np.cumsum(counts)).tolist()
+def packed(lang: str, numbers: np.ndarray, windows: Callable[[np.ndarray], list[bytes]]) -> pa.RecordBatch:
+    """A row for each bucket, whose windows stand one behind the other; numbers: each window's bucket, windows: those at some places."""
+    order = np.argsort(numbers, kind="stable")
+    buckets, counts = np.unique(numbers, return_counts=True)
     pack = zstandard.ZstdCompressor(level=1).compress
-    blobs = [pack(b"\n".join([*windows[a:b], b""])) for a, b in zip(ends, ends[1:])]
+    blobs = [pack(b"\n".join([*windows(places), b""])) for places in np.split(order, np.cumsum(counts)[:-1])] if len(order) else []
     columns = [pa.array([lang] * len(blobs), pa.string()), pa.array(buckets, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n", "windows"])
 
@@ -99,12 +100,6 @@ def unpacked(windows: pa.Scalar) -> bytes:
     return zstandard.ZstdDecompressor().decompress(windows.as_py())
 
 
-def dealt_windows(lang: str, windows: list[bytes], buckets: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(buckets, kind="stable")
-    found, counts = np.unique(buckets, return_counts=True)
-    return packed(lang, found, counts, [windows[i] for i in order.tolist()])
-
-
 def project(documents: DataFrame, buckets: int) -> DataFrame:
     """The windows of all words by the hash of the word: (lang, bucket, n, windows)."""
 
@@ -118,9 +113,10 @@ def project(documents: DataFrame, buckets: int) -> DataFrame:
             begin, ends, last = words_of(text)
             line_ends, at = np.flatnonzero(last), np.arange(len(words))
             stops = ends[np.minimum(at + MAX_WORDS - 1, line_ends[np.searchsorted(line_ends, at)])]
-            windows = [text[a:b] for a, b in zip(begin.tolist(), stops.tolist())]
             hashes = {w: zlib.crc32(w) % buckets for w in set(words)}
-            yield dealt_windows(lang, windows, np.fromiter(map(hashes.__getitem__, words), np.int64, len(words)))
+            numbers = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+            del words, hashes
+            yield packed(lang, numbers, lambda at: [text[a:b] for a, b in zip(begin[at].tolist(), stops[at].tolist())])
 
     return texts(documents).mapInArrow(run, PROJECTION)
 
@@ -135,7 +131,7 @@ def project_on(large: DataFrame, length: int) -> DataFrame:
                 windows = [(w, b" ".join(words[:length])) for w, words in split if len(words) >= length]
                 # Buckets that get one number by chance are mined together, which does no harm.
                 numbers = [(bucket * 1_000_003 + zlib.crc32(first) % parts + 1) & (1 << 62) - 1 for _, first in windows]
-                yield dealt_windows(lang, [w for w, _ in windows], np.array(numbers, np.int64))
+                yield packed(lang, np.array(numbers, np.int64), lambda at: [windows[i][0] for i in at.tolist()])
 
     return large.mapInArrow(run, PROJECTION)
 
