@@ -426,4 +426,4 @@ def sse_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", think_filter.sse(F.col("text")).alias("event"))
 
 
-from statuta.plans import composed, streams  # noqa: E402,F401  register the queries of composed operators and of streams
+from statuta.plans import composed, indexes, streams  # noqa: E402,F401  register the queries of composed operators, of streams and of indexes
