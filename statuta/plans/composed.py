@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from statuta.functions import text as T
 from statuta.operators import chat, conversation, discovery, ingestion, retrieval, rules, store, upload
+from statuta.plans.digests import DIGEST_SQL, digest_vectors, shown
 from statuta.plans.registry import _CASE, _CAT_PRIORITY, _CAT_SOURCE, _LAST, _LAW_CONTENT, _LAW_PRIORITY, _LAW_SOURCE, USER, WORD_RULES, query
 from statuta.sources import law_xml, providers, tables
 from statuta.sources.tables import DOCS_SQL, LAW_SQL, read
@@ -128,18 +129,6 @@ def ingest_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingestion.summary(_ingested(spark, sf_dir).report)
 
 
-def digest_vectors(texts: list[str]) -> list[list[float]]:
-    """An embedder that SQL can follow: the first eight bytes of a text's MD5."""
-    return [[float(b) for b in hashlib.md5(t.encode()).digest()[:8]] for t in texts]
-
-
-DIGEST_SQL = "array_to_string(list_transform(range(8), lambda i: CAST('0x' || substr(md5({}), CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER)), ',')"
-
-
-def shown() -> Column:
-    return F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",")
-
-
 @query(f"SELECT item_id AS id, 8 AS dimensions, TRUE AS fits, {DIGEST_SQL.format('text')} AS vector FROM benchmark")
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statuta.operators import memo, pivots, retrieval
-from statuta.plans.composed import DIGEST_SQL, digest_vectors, shown
+from statuta.plans.digests import DIGEST_SQL, digest_vectors, shown
 from statuta.plans.registry import LABEL, query
 from statuta.shared import shared_path
 from statuta.sources import tables
