@@ -1,11 +1,19 @@
-"""Paginated law search as a Python data source: one partition for each keyword.
+"""Paginated law search as a Python data source: one partition for each keyword, or, as a stream, for each page.
 
     spark.dataSource.register(LawSearchSource)
     spark.read.format("law_search").options(keywords="세법,관세", pages=folder).load()
 
 With `page` only that page is read (the exact hit of a name: `display=20`,
 `page=1` and operators.discovery.exact). The reply of a page comes from `pages`, a folder of files `<keyword>-<page>.xml`
-(offline), or from `url` with `api_key`.
+(offline, on any file system Arrow reads), or from `url` with `api_key`.
+
+readStream gives the same rows. Its offsets say how many pages of each keyword
+have been read, so a stream that starts again on its checkpoint reads no page of
+a finished batch twice, and pages that a search has more later come in later
+batches. How many pages there are is asked by a request for one result (online)
+or by the names in the folder, which count up from 1. A page that fails is a
+row with its error; a keyword whose number of pages cannot be asked is read at
+its first page, so that its error is a row too.
 """
 
 from __future__ import annotations
@@ -17,8 +25,9 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from statuta.schemas import LAW_SUMMARY
 from statuta.sources.law_xml import SUMMARY_FIELDS, parse_search
@@ -31,6 +40,30 @@ def get(url: str, query: dict) -> str:
         return reply.read().decode()
 
 
+def page_file(folder: str, keyword: str, page: int) -> tuple[arrow_fs.FileSystem, str]:
+    fs, root = arrow_fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+    return fs, f"{root}/{keyword}-{page}.xml"
+
+
+def exists(fs: arrow_fs.FileSystem, path: str) -> bool:
+    return fs.get_file_info(path).type == arrow_fs.FileType.File
+
+
+def write_pages(pages: DataFrame, folder: str) -> None:
+    """Put replies (keyword, page, xml) as files in a folder; a task that is retried writes the same files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keyword, page, xml in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, path = page_file(folder, keyword, page)
+                fs.create_dir(os.path.dirname(path), recursive=True)
+                with fs.open_output_stream(path) as out:
+                    out.write(xml.encode())
+            yield batch.select(["page"])
+
+    pages.select("keyword", "page", "xml").mapInArrow(run, "page long").write.format("noop").mode("overwrite").save()
+
+
 class Keyword(InputPartition):
     def __init__(self, rank: int, keyword: str):
         self.rank, self.keyword = rank, keyword
@@ -63,12 +96,15 @@ class LawSearchReader(DataSourceReader):
 
     def fetch(self, keyword: str, page: int) -> str:
         if self.folder:
-            path = os.path.join(self.folder, f"{keyword}-{page}.xml")
-            if not os.path.exists(path):
+            fs, path = page_file(self.folder, keyword, page)
+            if not exists(fs, path):
                 return "<LawSearch/>"
-            with open(path, encoding="utf-8") as f:
-                return f.read()
-        return get(self.url, {"OC": self.key, "target": "law", "type": "XML", "query": keyword, "display": self.per_page, "page": page})
+            with fs.open_input_stream(path) as f:
+                return f.read().decode()
+        return self.online(keyword, self.per_page, page)
+
+    def online(self, keyword: str, display: int, page: int) -> str:
+        return get(self.url, {"OC": self.key, "target": "law", "type": "XML", "query": keyword, "display": display, "page": page})
 
     def laws(self, keyword: str) -> Iterator[dict[str, str]]:
         if self.page is not None:
@@ -85,6 +121,54 @@ class LawSearchReader(DataSourceReader):
             yield (partition.keyword, partition.rank, i + 1, *(None for _ in SUMMARY_FIELDS), f"{type(e).__name__}: {e}"[:500])
 
 
+class Page(InputPartition):
+    def __init__(self, rank: int, keyword: str, page: int):
+        self.rank, self.keyword, self.page = rank, keyword, page
+
+
+class LawSearchStream(DataSourceStreamReader):
+    def __init__(self, options: dict[str, str]):
+        self.search, self.done = LawSearchReader(options), {}
+
+    def pages(self, keyword: str) -> int:
+        """How many pages a search has now, at most those of max_results laws."""
+        most = -(-self.search.cap // self.search.per_page)
+        if not self.search.folder:
+            total = parse_search(self.search.online(keyword, 1, 1))[1]
+            return min(most, -(-total // self.search.per_page))
+        n = self.done.get(keyword, 0)
+        while n < most and exists(*page_file(self.search.folder, keyword, n + 1)):
+            n += 1
+        return n
+
+    def initialOffset(self) -> dict:
+        return {k: 0 for k in self.search.keywords}
+
+    def latestOffset(self) -> dict:
+        for keyword in self.search.keywords:
+            try:
+                n = self.pages(keyword)
+            except Exception:  # noqa: BLE001  the task that reads the first page tells
+                n = 1
+            self.done[keyword] = max(self.done.get(keyword, 0), n)
+        return dict(self.done)
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        self.done = {k: max(self.done.get(k, 0), start.get(k, 0), end.get(k, 0)) for k in self.search.keywords}
+        return [Page(i, k, p) for i, k in enumerate(self.search.keywords) for p in range(start.get(k, 0) + 1, end.get(k, 0) + 1)]
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        key, first = (partition.keyword, partition.rank), (partition.page - 1) * self.search.per_page
+        try:
+            laws = parse_search(self.search.fetch(partition.keyword, partition.page))[0]
+        except Exception as e:  # noqa: BLE001  other pages go on
+            return iter([(*key, first, *(None for _ in SUMMARY_FIELDS), f"{type(e).__name__}: {e}"[:500])])
+        return iter([(*key, first + i, *(law[f] for f in SUMMARY_FIELDS), None) for i, law in enumerate(laws)])
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept outside the checkpoint."""
+
+
 class LawSearchSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -96,6 +180,9 @@ class LawSearchSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return LawSearchReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return LawSearchStream(self.options)
+
 
 def detail_of(url: str, key: str | None = None) -> Callable[[str], str]:
     """A function from a law's number to its XML over HTTP; ValueError without a key."""
