@@ -3,7 +3,9 @@
 Features are TF-IDF weights of character n-grams (1 to 3 characters, small
 letters, all else a space), hashed to HASHED places and scaled to length one.
 Weights are learned by follow-the-regularised-leader with an L1 and an L2
-penalty, then the scores' temperature is fitted on texts kept apart.
+penalty, then the scores' temperature is fitted on texts kept apart: on these
+and on short pieces of them, since whole texts are nearly all told right, from
+which no temperature can be learned (its loss falls to the end of the search).
 
 Document frequencies are counted over all learning documents. The weights are
 fitted on a bounded sample (PER_LANG whole texts of each language, SAMPLE in
@@ -29,6 +31,8 @@ from llm.common import dealt, held_out, table
 PER_LANG, SAMPLE, MAX_CHARS = 800, 20_000, 20_000
 HASHED, EPOCHS = 1 << 15, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
+#: Characters of the pieces, out of a text's middle, on which the temperature is fitted beside the whole text, and where it is searched.
+PIECES, TEMPERATURES = (4, 8, 16, 32), (0.02, 20.0)
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -72,17 +76,24 @@ class LanguageModel:
     def __init__(self, rows: list[tuple[str, str]], df: np.ndarray, n: int):
         """rows: texts and languages, which are kept as sparse rows only; df: in how many of n documents each n-gram occurs."""
         self.idf = np.log((1 + n) / (1 + df)) + 1
-        counted = [(self._row(*c), lang) for text, lang in rows if (c := ngram_counts(text)) is not None]
-        self.langs = sorted({lang for _, lang in counted})
+        counted = [(self._row(*c), lang, text) for text, lang in rows if (c := ngram_counts(text)) is not None]
+        self.langs = sorted({lang for _, lang, _ in counted})
         if not self.langs:
             return
-        x, y = [v for v, _ in counted], np.array([self.langs.index(lang) for _, lang in counted])
+        x, y = [v for v, _, _ in counted], np.array([self.langs.index(lang) for _, lang, _ in counted])
         apart = np.arange(len(x)) % 5 == 4
         if apart.all() or not apart.any():
             apart[:] = False
         self.weights = self._follow(x, y, np.flatnonzero(~apart))
         rest = np.flatnonzero(apart) if apart.any() else np.arange(len(x))
-        self.temperature = self._calibrate(np.array([self._logits(*x[k]) for k in rest]), y[rest])
+        logits, of = [self._logits(*x[k]) for k in rest], list(y[rest])
+        for k in rest:
+            text = counted[k][2]
+            for n in PIECES:
+                if n < len(text) and (c := ngram_counts(text[(len(text) - n) // 2 :][:n])) is not None:
+                    logits.append(self._logits(*self._row(*c)))
+                    of.append(y[k])
+        self.temperature = self._calibrate(np.array(logits), np.array(of))
 
     def _row(self, i: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """TF-IDF weights of length one."""
@@ -113,7 +124,7 @@ class LanguageModel:
     def _calibrate(logits: np.ndarray, y: np.ndarray) -> float:
         """The temperature of least loss, by golden-section search on its logarithm."""
         loss = lambda t: -np.log(softmax(logits / np.exp(t))[np.arange(len(y)), y] + 1e-12).mean()
-        a, b, g = np.log(0.02), np.log(20), (np.sqrt(5) - 1) / 2
+        (a, b), g = np.log(TEMPERATURES), (np.sqrt(5) - 1) / 2
         for _ in range(40):
             c, d = b - g * (b - a), a + g * (b - a)
             a, b = (a, d) if loss(c) < loss(d) else (c, b)

@@ -1,7 +1,9 @@
 """Quality, toxicity and language: held-out accuracy, odd inputs, determinism."""
 
+import math
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,45 @@ def test_language(spark, docs):
     strange = {(r["doc_id"], r["lang_pred"]) for r in language.predict(odd(spark), model).collect()}
     assert {(1, "und"), (2, "und"), (6, "und")} <= strange and not any(d in (3, 4, None) and lang == "und" for d, lang in strange)
     assert language.predict(odd(spark), language.fit(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_language_temperature_is_inside_its_search(spark, docs):
+    model = language.fit(docs)
+    low, high = language.TEMPERATURES
+    assert 2 * low < model.temperature < high / 2
+    scored = [(model(r["text"][10:22]), r["lang"]) for r in docs.where(held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect()]
+    scored = [(lang == truth, p) for (lang, p), truth in scored if lang != language.UNKNOWN]
+    right, mean = sum(ok for ok, _ in scored) / len(scored), sum(p for _, p in scored) / len(scored)
+    assert right < 1 and abs(right - mean) < 0.1  # short pieces are told wrong as often as their scores say
+
+
+def test_language_follows_the_regularised_leader():
+    """Weights equal those of a plain loop over places and languages."""
+    texts = [("der hund und die katze", "de"), ("the dog and the cat", "en"), ("le chien et le chat", "fr"), ("das haus", "de"), ("a house", "en"), ("une maison", "fr")]
+    model = language.LanguageModel(texts, np.ones(language.HASHED), 6)
+    x = [model._row(*language.ngram_counts(t)) for t, _ in texts]
+    y = [model.langs.index(lang) for _, lang in texts]
+    kept, order = [k for k in range(6) if k % 5 != 4], np.random.default_rng(0)
+    z, n, c = {}, {}, len(model.langs)
+
+    def weight(i, j):
+        if abs(z.get((i, j), 0.0)) <= language.L1:
+            return 0.0
+        sign = 1 if z[i, j] > 0 else -1
+        return -(z[i, j] - sign * language.L1) / ((language.BETA + math.sqrt(n[i, j])) / language.ALPHA + language.L2)
+
+    for _ in range(language.EPOCHS):
+        for k in order.permutation(np.array(kept)):
+            row = [*zip(x[k][0].tolist(), x[k][1].tolist()), (language.HASHED, 1.0)]
+            w = {(i, j): weight(i, j) for i, _ in row for j in range(c)}
+            e = [math.exp(sum(v * w[i, j] for i, v in row)) for j in range(c)]
+            for i, v in row:
+                for j in range(c):
+                    g = v * (e[j] / sum(e) - (j == y[k]))
+                    sigma = (math.sqrt(n.get((i, j), 0.0) + g * g) - math.sqrt(n.get((i, j), 0.0))) / language.ALPHA
+                    z[i, j] = z.get((i, j), 0.0) + g - sigma * w[i, j]
+                    n[i, j] = n.get((i, j), 0.0) + g * g
+    plain = np.zeros_like(model.weights)
+    for i, j in z:
+        plain[i, j] = weight(i, j)
+    assert np.allclose(plain, model.weights, atol=1e-5) and (model.weights == 0).mean() > 0.9
