@@ -172,7 +172,7 @@ def test_decontamination_of_new_words_and_short_items(spark):
     known = [w for r in docs.orderBy("doc_id").limit(60).collect() for w in decontaminate.words_of(r["text"])]
     short = [(10_000 + k, " ".join(known[at : at + 2 + k % 6])) for k, at in enumerate(rng.sample(range(len(known) - 7), 60))]
     search = decontaminate.searches(docs, benchmark.select("item_id", "text").unionByName(spark.createDataFrame(short, "item_id long, text string")))[0]
-    items = [x for b in search.blocks for x in b.items]
+    items = search.items
     for share in (0.0, 0.3, 0.4, 0.45):
         texts = []
         for item in items:
@@ -185,6 +185,55 @@ def test_decontamination_of_new_words_and_short_items(spark):
         assert sum(want) > 40 and all(item.item_id in f for item, f, w in zip(items, found, want) if w)
 
 
+def test_latent_directions_find_other_words(spark):
+    """RANK directions, fewer than passages, tell windows of the words that go with an item's words, which plain cosine can't."""
+    rng = random.Random(13)
+    topics = [[(f"x{t}.{i}", f"y{t}.{i}") for i in range(24)] for t in range(40)]
+    docs, items = [], []
+    for k, topic in enumerate(topics):
+        for _ in range(10):
+            docs.append((len(docs), " ".join(w for pair in rng.sample(topic, 24) for w in rng.sample(pair, 2))))
+        items += [(8 * k + j, " ".join(x for x, _ in rng.sample(topic, 16))) for j in range(8)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    (search,) = decontaminate.searches(*frames)
+    assert search.passages.shape == (len(items), decontaminate.RANK) and decontaminate.RANK < 0.7 * len(items)
+    columns, other = decontaminate._Columns(), 0
+    for item_id, text in items:
+        words = [w if i % 4 == 0 else "y" + w[1:] for i, w in enumerate(text.split())]
+        plain = sum(w in text.split() for w in words) / 16  # all words are as rare as each other
+        cols, ends = columns(words), np.array([16])
+        near = {int(search.item_of[p]) for _, ps in search.latent_candidates(cols, np.array([0]), ends) for p in ps}
+        assert plain < decontaminate.COSINE
+        other += item_id in near and all(n // 8 == item_id // 8 for n in near)
+    assert other >= 0.9 * len(items)
+
+
+def test_decontamination_of_repeats_and_clashing_columns(spark):
+    benchmark = table(spark, DATA, "benchmark")
+    item = benchmark.orderBy("item_id").first()
+    rows = [(1, item["text"]), (1, item["text"]), (None, item["text"]), (2, None), (3, ""), (None, "plain words"), (4, "plain words")]
+    own = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(c).alias(c) for c in ("word", "row", "weight", "stride", "item_id", "lcs")))
+    found = decontaminate.contaminated(own, benchmark.withColumn("doc_id", F.lit(9))).where(F.col("item_id") == item["item_id"]).collect()
+    assert sorted(str(r["doc_id"]) for r in found) == ["1", "1", "None"]
+    stage = decontaminate.decontaminate_stage(spark, own, DATA)
+    assert stage.columns == own.columns and sorted((str(r["doc_id"]), r["text"]) for r in stage.collect()) == sorted((str(d), t) for d, t in rows[3:])
+    twice = benchmark.where(F.col("item_id") == item["item_id"]).select(F.explode(F.array(F.lit(70_001), F.lit(70_002))).alias("item_id"), "text")
+    assert {r["item_id"] for r in decontaminate.contaminated(own, twice).collect()} == {70_001, 70_002}
+
+
+def test_there_and_back_equals_dense():
+    rng = np.random.default_rng(5)
+    texts = [list(rng.choice(list("abcdefgh"), n)) for n in (3, 16, 40, 1)]
+    columns = decontaminate._Columns()
+    rows, cols, values = decontaminate.weighted_rows(texts, 4, np.ones(decontaminate.HASHED), columns)
+    dense = np.zeros((rows.max() + 1, decontaminate.HASHED), np.float32)
+    dense[rows, cols] = values
+    directions = rng.standard_normal((decontaminate.HASHED, 4)).astype(np.float32)
+    found, sums = decontaminate.there_and_back(rows, cols, values, directions)
+    assert list(found) == sorted(set(cols)) and np.allclose(sums, (dense.T @ (dense @ directions))[found], atol=1e-4)
+    assert np.allclose(np.linalg.norm(dense, axis=1), 1)
+
+
 def test_lcs():
     assert decontaminate.lcs("a b c d".split(), "x a c y d".split()) == 3 and decontaminate.lcs(["a"], []) == 0
 
