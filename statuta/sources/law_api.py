@@ -1,4 +1,4 @@
-"""Paginated law search as a Python data source: one partition for each keyword, or, as a stream, for each page.
+"""Paginated law search as a Python data source: one partition for each keyword, or, as a stream, for each run of pages.
 
     spark.dataSource.register(LawSearchSource)
     spark.read.format("law_search").options(keywords="세법,관세", pages=folder).load()
@@ -11,13 +11,16 @@ readStream gives the same rows. Its offsets say how many pages of each keyword
 have been read, so a stream that starts again on its checkpoint reads no page of
 a finished batch twice, and pages that a search has more later come in later
 batches. How many pages there are is asked by a request for one result (online)
-or by the names in the folder, which count up from 1. A page that fails is a
+or by the names in the folder, which count up from 1 and are listed once a
+batch. A batch has TASKS partitions and one a keyword at most, each a run of a
+keyword's pages, so a large search takes longer tasks, not more. A page that fails is a
 row with its error; a keyword whose number of pages cannot be asked is read at
 its first page, so that its error is a row too.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import time
 import urllib.parse
@@ -40,11 +43,27 @@ def get(url: str, query: dict) -> str:
         return reply.read().decode()
 
 
+#: Runs of pages of a batch of the stream, beside those that begin a keyword.
+TASKS = 200
+
+
+@functools.lru_cache(maxsize=8)
+def file_system(folder: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a folder, and its path there."""
+    return arrow_fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+
+
 def page_file(folder: str, keyword: str, page: int) -> tuple[arrow_fs.FileSystem, str]:
-    fs, root = arrow_fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+    fs, root = file_system(folder)
     return fs, f"{root}/{keyword}-{page}.xml"
 
 
+def page_names(folder: str) -> set[str]:
+    """Names of the files in a folder, by one listing."""
+    fs, root = file_system(folder)
+    return {f.base_name for f in fs.get_file_info(arrow_fs.FileSelector(root, allow_not_found=True)) if f.type == arrow_fs.FileType.File}
+
+
 def exists(fs: arrow_fs.FileSystem, path: str) -> bool:
     return fs.get_file_info(path).type == arrow_fs.FileType.File
 
@@ -53,10 +72,13 @@ def write_pages(pages: DataFrame, folder: str) -> None:
     """Put replies (keyword, page, xml) as files in a folder; a task that is retried writes the same files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = set()
         for batch in batches:
             for keyword, page, xml in zip(*(c.to_pylist() for c in batch.columns)):
                 fs, path = page_file(folder, keyword, page)
-                fs.create_dir(os.path.dirname(path), recursive=True)
+                if (parent := os.path.dirname(path)) not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with fs.open_output_stream(path) as out:
                     out.write(xml.encode())
             yield batch.select(["page"])
@@ -122,22 +144,24 @@ class LawSearchReader(DataSourceReader):
 
 
 class Page(InputPartition):
-    def __init__(self, rank: int, keyword: str, page: int):
-        self.rank, self.keyword, self.page = rank, keyword, page
+    """A page of a keyword, or a run of pages from it to last."""
+
+    def __init__(self, rank: int, keyword: str, page: int, last: int | None = None):
+        self.rank, self.keyword, self.page, self.last = rank, keyword, page, page if last is None else last
 
 
 class LawSearchStream(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.search, self.done = LawSearchReader(options), {}
 
-    def pages(self, keyword: str) -> int:
-        """How many pages a search has now, at most those of max_results laws."""
+    def pages(self, keyword: str, names: set[str]) -> int:
+        """How many pages a search has now, at most those of max_results laws; names are those in the folder."""
         most = -(-self.search.cap // self.search.per_page)
         if not self.search.folder:
             total = parse_search(self.search.online(keyword, 1, 1))[1]
             return min(most, -(-total // self.search.per_page))
         n = self.done.get(keyword, 0)
-        while n < most and exists(*page_file(self.search.folder, keyword, n + 1)):
+        while n < most and f"{keyword}-{n + 1}.xml" in names:
             n += 1
         return n
 
@@ -145,9 +169,10 @@ class LawSearchStream(DataSourceStreamReader):
         return {k: 0 for k in self.search.keywords}
 
     def latestOffset(self) -> dict:
+        names = page_names(self.search.folder) if self.search.folder else set()
         for keyword in self.search.keywords:
             try:
-                n = self.pages(keyword)
+                n = self.pages(keyword, names)
             except Exception:  # noqa: BLE001  the task that reads the first page tells
                 n = 1
             self.done[keyword] = max(self.done.get(keyword, 0), n)
@@ -155,15 +180,24 @@ class LawSearchStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.done = {k: max(self.done.get(k, 0), start.get(k, 0), end.get(k, 0)) for k in self.search.keywords}
-        return [Page(i, k, p) for i, k in enumerate(self.search.keywords) for p in range(start.get(k, 0) + 1, end.get(k, 0) + 1)]
+        todo = [(i, k, start.get(k, 0) + 1, end.get(k, 0)) for i, k in enumerate(self.search.keywords)]
+        run = max(1, -(-sum(max(0, last - first + 1) for *_, first, last in todo) // TASKS))
+        return [Page(i, k, p, min(p + run - 1, last)) for i, k, first, last in todo for p in range(first, last + 1, run)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        key, first = (partition.keyword, partition.rank), (partition.page - 1) * self.search.per_page
-        try:
-            laws = parse_search(self.search.fetch(partition.keyword, partition.page))[0]
-        except Exception as e:  # noqa: BLE001  other pages go on
-            return iter([(*key, first, *(None for _ in SUMMARY_FIELDS), f"{type(e).__name__}: {e}"[:500])])
-        return iter([(*key, first + i, *(law[f] for f in SUMMARY_FIELDS), None) for i, law in enumerate(laws)])
+        """Rows of a run of pages; a page that fails gives a single row with its error."""
+        key = partition.keyword, partition.rank
+        for page in range(partition.page, partition.last + 1):
+            if page > partition.page:
+                time.sleep(self.search.delay)
+            first = (page - 1) * self.search.per_page
+            try:
+                laws = parse_search(self.search.fetch(partition.keyword, page))[0]
+            except Exception as e:  # noqa: BLE001  other pages go on
+                yield (*key, first, *(None for _ in SUMMARY_FIELDS), f"{type(e).__name__}: {e}"[:500])
+                continue
+            for i, law in enumerate(laws):
+                yield (*key, first + i, *(law[f] for f in SUMMARY_FIELDS), None)
 
     def commit(self, end: dict) -> None:
         """Nothing is kept outside the checkpoint."""

@@ -78,3 +78,19 @@ def test_stream_asks_how_many_pages(monkeypatch):
     assert stream.latestOffset() == {"가": 2, "나": 1} and asked == [(1, 1), (1, 1)]
     assert [(p.keyword, p.page) for p in stream.partitions({"가": 1}, {"가": 2, "나": 1})] == [("가", 2), ("나", 1)]
     assert [r[2] for r in stream.read(law_api.Page(0, "가", 2))] == [2, 3] and next(stream.read(law_api.Page(1, "나", 1)))[-1]
+
+
+def test_stream_of_many_pages_has_few_tasks_and_lists_once(tmp_path, monkeypatch):
+    for i in range(1, 1001):
+        (tmp_path / f"가-{i}.xml").write_text("<broken" if i == 500 else reply([i], 1000), encoding="utf-8")
+    (tmp_path / "나-1.xml").write_text(reply("7", 1), encoding="utf-8"), (tmp_path / "나-3.xml").write_text(reply("9", 1), encoding="utf-8")
+    listed = []
+    monkeypatch.setattr(law_api, "exists", lambda fs, path: listed.append(path) or True)
+    stream = law_api.LawSearchStream({"keywords": "가,나", "pages": str(tmp_path), "display": "1"})
+    end = stream.latestOffset()
+    assert end == {"가": 1000, "나": 1} and not listed  # one listing, no look at each page
+    runs = stream.partitions(stream.initialOffset(), end)
+    assert len(runs) <= law_api.TASKS + 2
+    rows = [r for run in runs for r in stream.read(run)]
+    assert [(r[0], r[2]) for r in rows] == [("가", i) for i in range(1000)] + [("나", 0)]
+    assert [r[2] for r in rows if r[-1]] == [499]  # a page that fails leaves the rest of its run
