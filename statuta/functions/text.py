@@ -18,6 +18,10 @@ INVISIBLE = r"[\x{200B}\x{200C}\x{200D}\x{FEFF}\x{AD}]"
 MAY_COMPOSE = r"[\p{M}\x{1100}-\x{11FF}\x{2126}\x{212A}\x{212B}\x{340}-\x{37E}\x{387}\x{1F71}-\x{1FFD}\x{2000}\x{2001}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{0958}-\x{095F}\x{2329}\x{232A}\x{2ADC}]"
 
 
+#: Texts without any of these are normalised already, but for their normal form.
+MAY_CLEAN = r"[\t-\r\x{1C}-\x{1F}\x{85}\x{A0}\x{AD}\x{1680}\x{2000}-\x{200D}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]|  |\A | \z"
+
+
 def strip(text: Column) -> Column:
     """Trimmed by a list of characters: a pattern that ends in \\z is tried at every run of spaces."""
     return F.btrim(text, F.lit(SPACES))
@@ -25,10 +29,11 @@ def strip(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Normalised text of a text in normal form C; null becomes empty."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), INVISIBLE, "")
+    given = F.coalesce(text, F.lit(""))
+    text = F.regexp_replace(given, INVISIBLE, "")
     text = F.regexp_replace(F.replace(text, F.lit("\t"), F.lit(" ")), " {2,}", " ")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return strip(F.array_join(F.transform(F.split(text, LINE_END, -1), strip), "\n"))
+    return F.when(~given.rlike(MAY_CLEAN), given).otherwise(strip(F.array_join(F.transform(F.split(text, LINE_END, -1), strip), "\n")))
 
 
 @F.pandas_udf(StringType())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,11 +61,12 @@ def statute_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return law_xml.parse_articles(payloads, name_hint="hint")
 
 
-def _lines(spark: SparkSession, sf_dir: str, made: Column) -> DataFrame:
-    """(o_orderkey, o_orderstatus, inner): what is made of an order's few lines, in order, as one text."""
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", made.alias("x")))).alias("l"))
+def _lines(spark: SparkSession, sf_dir: str, made: Callable[[Column], Column]) -> DataFrame:
+    """(o_orderkey, o_orderstatus, inner): what is made of an order's few lines, in order, as one text; made after the shuffle."""
+    line = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus")
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(line)).alias("l"))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(lines, "o_orderkey", "left")
-    return orders.select("o_orderkey", "o_orderstatus", F.coalesce(F.array_join(F.transform("l", lambda r: r["x"]), ""), F.lit("")).alias("inner"))
+    return orders.select("o_orderkey", "o_orderstatus", F.coalesce(F.array_join(F.transform("l", made), ""), F.lit("")).alias("inner"))
 
 
 _REPLIES = """r AS (SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) - 1 AS INTEGER) AS position,
@@ -73,7 +75,7 @@ _REPLIES = """r AS (SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_or
 
 def _search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search reply for each order, its lines as laws; some are malformed."""
-    law = _tag("law", F.concat(_tag("법령일련번호", _string("l_partkey")), _tag("법령명한글", F.concat("l_returnflag", "l_linestatus"))))
+    law = lambda r: _tag("law", F.concat(_tag("법령일련번호", r["l_partkey"].cast("string")), _tag("법령명한글", F.concat(r["l_returnflag"], r["l_linestatus"]))))
     reply = F.when(F.col("o_orderkey") % 13 == 0, "<broken").otherwise(_tag("LawSearch", F.concat(_tag("totalCnt", "7"), F.col("inner"))))
     return law_xml.search_rows(_lines(spark, sf_dir, law).withColumn("xml", reply), "o_orderkey", "xml")
 
@@ -104,11 +106,12 @@ report AS (SELECT o_orderkey AS target_idx, 'law' || o_orderkey AS law_name, CAS
 def _ingested(spark: SparkSession, sf_dir: str) -> ingestion.Ingested:
     """Each order as a wanted law whose articles are its lines; some have no hit, some no detail, some articles are stored."""
     no, body = (F.col("l_linenumber") % 3).cast("string"), F.concat("l_returnflag", "l_linestatus")
-    units = _lines(spark, sf_dir, _tag("조문단위", F.concat(_tag("조문번호", no), _tag("조문내용", body))))
+    unit = lambda r: _tag("조문단위", F.concat(_tag("조문번호", (r["l_linenumber"] % 3).cast("string")), _tag("조문내용", F.concat(r["l_returnflag"], r["l_linestatus"]))))
+    orders, units = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), _lines(spark, sf_dir, unit)
     key, name = _string("o_orderkey"), F.concat(F.lit("law"), _string("o_orderkey"))
-    wanted = units.select(F.col("o_orderkey").alias("target_idx"), name.alias("law_name"), F.col("o_orderstatus").alias("tax_type"))
+    wanted = orders.select(F.col("o_orderkey").alias("target_idx"), name.alias("law_name"), F.col("o_orderstatus").alias("tax_type"))
     hit = F.when(F.col("o_orderstatus") == "P", F.concat(name, F.lit("x"))).otherwise(name)
-    results = units.select(F.explode(F.array(*(F.struct(F.lit(i).alias("position"), hit.alias("law_name"), F.concat(F.lit(m), key).alias("mst"), F.lit("법률").alias("law_type")) for i, m in enumerate("mn")))).alias("r")).select("r.*")
+    results = orders.select(F.explode(F.array(*(F.struct(F.lit(i).alias("position"), hit.alias("law_name"), F.concat(F.lit(m), key).alias("mst"), F.lit("법률").alias("law_type")) for i, m in enumerate("mn")))).alias("r")).select("r.*")
     failed = F.col("o_orderkey") % 5 == 0
     details = units.select(F.concat(F.lit("m"), key).alias("mst"), F.when(~failed, _tag("법령", _tag("조문", F.col("inner")))).alias("raw_xml"), F.when(failed, "timeout").alias("error"))
     stored = read(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 2 == 0))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,15 @@ class HashEmbedder:
 
     def __call__(self, texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dimensions))
-        for i, text in enumerate(texts):
-            for word in text.split() or [""]:
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dimensions] += 1 if h >> 63 else -1
-            out[i] /= np.linalg.norm(out[i]) or 1
-        return out.tolist()
+        split = [text.split() or [""] for text in texts]
+        place: dict[str, int] = {}
+        for word in set(chain.from_iterable(split)):
+            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            place[word] = h % self.dimensions + 1 if h >> 63 else -1 - h % self.dimensions
+        at = np.array([place[w] for words in split for w in words], np.int64)
+        np.add.at(out, (np.repeat(np.arange(len(texts)), [len(words) for words in split]), np.abs(at) - 1), np.sign(at))
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return (out / np.where(length == 0, 1, length)).tolist()
 
 
 def embed(rows: DataFrame, text: str, key: str, embedder: Embedder, batch: int = 100) -> DataFrame:

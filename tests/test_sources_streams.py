@@ -2,10 +2,12 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from statuta.functions import text as T
 from statuta.sources import law_api, law_xml, providers
 from statuta.streaming import ingest, think_filter
 
@@ -135,3 +137,27 @@ def test_web_search(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, []), (3, None)], "id long, q array<string>")
     found = sorted((r["id"], r["query_idx"], r["rank"]) for r in providers.web_search(df, "id", "q", search).collect())
     assert found == [(1, q, r) for q in (0, 2) for r in range(3)]
+
+
+def test_payloads_are_parsed_by_one_plan_and_once(spark):
+    """One parsing step in the plan, with composed and decomposed letters alike, whatever the column of them."""
+    unit = "<조문단위><조문번호>1</조문번호><조문제목>{}</조문제목><조문내용>{}</조문내용></조문단위>"
+    texts = [("e\u0301", "plain"), ("plain", "e\u0301  x"), ("\u1112\u1161\u11ab", " a\t b"), ("t", "\u212b")]
+    rows = spark.createDataFrame([(i, "<법령><조문>" + unit.format(*t) + "</조문></법령>") for i, t in enumerate(texts)], "mst int, raw_xml string")
+    made = law_xml.parse_articles(rows)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = [(r["article_title"], r["article_text"]) for r in made.orderBy("mst").collect()]
+    assert found == [("\u00e9", "plain"), ("plain", "\u00e9 x"), ("\ud55c", "a b"), ("t", "\u00c5")]
+
+
+def test_clean_text_leaves_only_clean_texts_alone(spark):
+    odd = [*T.SPACES, *map(chr, (0x200B, 0x200C, 0x200D, 0xFEFF, 0xAD))]
+    texts = [f"{a}x{b}y{c}" for o in odd for a, b, c in ((o, "", ""), ("", o, ""), ("", "", o), ("", o + o, ""))] + ["", "a b", "a\r\nb\r\n\r\n\r\n\r\nc"]
+    found = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.clean_text(F.col("t"))).collect()]
+
+    def plain(t):
+        t = re.sub("[\u200b\u200c\u200d\ufeff\xad]", "", t).replace("\t", " ")
+        t = re.sub("\n{3,}", "\n\n", re.sub(" {2,}", " ", t))
+        return "\n".join(x.strip(T.SPACES) for x in re.split("\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]", t)).strip(T.SPACES)
+
+    assert found == list(map(plain, texts))
