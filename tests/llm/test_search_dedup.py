@@ -267,3 +267,23 @@ def test_pipeline(spark):
         left = new
     rows = corpus_pipeline.run(spark, DATA).collect()
     assert 0 < len(rows) < docs.count() and len({r["doc_id"] for r in rows}) == len(rows)
+
+
+def test_directions_of_columns_in_use_take_no_more_than_these():
+    """The same directions as of all columns, and no words kept in workers from task to task."""
+    import tracemalloc
+
+    use = np.zeros(decontaminate.HASHED, bool)
+    use[::31] = True
+    whole = np.random.default_rng(7).standard_normal((decontaminate.HASHED, decontaminate.RANK), dtype=np.float32)
+    assert np.array_equal(decontaminate.random_directions(use), whole[use])
+    tracemalloc.start()
+    decontaminate.random_directions(use)
+    assert tracemalloc.get_traced_memory()[1] < whole.nbytes / 4
+    tracemalloc.reset_peak()
+    before, columns = tracemalloc.get_traced_memory()[0], decontaminate._Columns()
+    for at in range(0, 200_000, 10_000):
+        columns([f"word{k}" for k in range(at, at + 10_000)])
+    assert tracemalloc.get_traced_memory()[0] - before < 1 << 20
+    tracemalloc.stop()
+    assert columns(["a", "b", "a"]).tolist() == [decontaminate.column(w) for w in "aba"]
