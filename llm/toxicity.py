@@ -78,11 +78,12 @@ def log_tail(k: int, n: int, p: float) -> float:
 
 def occurrences(texts: list[list[str]]) -> tuple[Counter, int]:
     """How often stems occur, after how many different tokens; copies of a text add nothing."""
-    pairs: set[tuple[str, str]] = set()
-    for tokens in texts:
-        pairs.update(zip(tokens, ["", *tokens]))
+    place: dict[str, int] = {}
+    ids = [np.array([place.setdefault(t, len(place)) for t in tokens], np.int64) for tokens in texts if tokens]
+    before = [np.append(len(place), x[:-1]) for x in ids]  # a text's first token comes after none
+    pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(x * (len(place) + 1) + y for x, y in zip(ids, before))]))
     counts: Counter = Counter()
-    for token, n in Counter(token for token, _ in pairs).items():
+    for token, n in zip(place, np.bincount(pairs // (len(place) + 1), minlength=len(place)).tolist()):
         for stem in stems(token):
             counts[stem] += n
     return counts, len(pairs)
@@ -243,17 +244,18 @@ class ToxicityModel:
         self.field = self.calibration = None
         if len({y for _, _, y in rows}) < 2:
             return
-        texts, y = [t.split() for _, t, _ in rows], np.array([k for _, _, k in rows], float)
+        y = np.array([k for _, _, k in rows], float)
         fitted = np.zeros(len(rows), bool)
         for k in (0, 1):
             fitted[np.flatnonzero(y == k)[::2]] = True  # rows are in doc_id order
-        own = [t for t, f in zip(texts, fitted) if f]
+        one: dict[str, str] = {}  # equal tokens are one string
+        own = [[one.setdefault(x, x) for x in t.split()] for (_, t, _), f in zip(rows, fitted) if f]
         known = toxic_stems(own, y[fitted])
         marked = {token: bool(stems(token) & known) for t in own for token in set(t)}
         marks = [np.array([label == 1 and marked[x] for x in t], float) for t, label in zip(own, y[fitted])]
         self.field = fit_field(own, marks)
         rest = ~fitted if len(set(y[~fitted])) == 2 else fitted
-        x = self.features([" ".join(t) for t, r in zip(texts, rest) if r])
+        x = self.features([" ".join(t.split()) for (_, t, _), r in zip(rows, rest) if r])
         self.calibration = Logistic(x, y[rest], class_weights(y[rest], counts))
 
     def _marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
