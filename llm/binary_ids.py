@@ -31,11 +31,11 @@ import os
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -55,11 +55,24 @@ LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)
 PLACE = np.arange(4, dtype=np.uint8)
 #: Words in each of the two generations that a worker keeps.
 CACHE_WORDS = 700_000
-MARKS = ".,;:!?"
 #: Longest word that is kept.
 KEPT_CHARS = 100
-#: Letters, perhaps after a space: one match of the pattern, before and after which any line feed stands alone.
-PLAIN = re.compile(r" ?[^\W\d_]+")
+#: Characters of texts that are looked up together, and new words that are encoded as one text.
+PART_CHARS, TEXT_WORDS = 4_000_000, 20_000
+#: Plain words that go through the merges together: more than the library's own cache takes as one.
+JOINED_WORDS = 64
+#: Letters after a space, of scripts all versions of Unicode agree on, and marks: a match of the pattern, and another.
+PLAIN = re.compile("( [A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]*)")
+
+
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+BYTE_SIGNS = byte_signs()
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -105,39 +118,18 @@ def read_file(raw: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
         control, data, before = control + k, data + size, before + count
 
 
-def pieces(word: str) -> list[str]:
-    """A word cut where the pattern cuts it for sure: at single line feeds, and between a letter or figure and the marks at
-    a line's end; the word itself if it is long or anything is unusual."""
-    out: list[str] = []
-    if len(word) > KEPT_CHARS:
-        return [word]
-    for k, part in enumerate(word.split("\n")):
-        core = part.rstrip(MARKS)
-        if not core or not core[-1].isalnum() or part.split() != [part if k else part.removeprefix(" ")]:
-            return [word]
-        out += ["\n"] * (k > 0) + [core] + [part[len(core) :]] * (len(core) < len(part))
-    return out
-
-
-def byte_signs() -> dict[int, str]:
-    """The sign that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return {b: chr(b if b in printable else next(others)) for b in range(256)}
-
-
-BYTE_SIGNS = byte_signs()
-
-
 class Ids:
     """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers.
 
     A byte-level tokenizer without normaliser splits texts by its pattern, in
-    which a space after anything but white space begins a new match, a mark
-    after a letter or figure does, and a single line feed between other signs
-    is one. So words are encoded once and kept, and a new word is put together
-    from its pieces. Texts that hold an added token, and texts of other
-    tokenizers, are encoded whole.
+    which a space after anything but white space begins a new match. So texts
+    are cut before their spaces, the words of many texts are looked up once
+    each, and new words are encoded by the library, many as one text, and
+    kept. Plain words need its merges alone. The bytes of a token tell where
+    words end among the ids; as tokens only grow by merges, no merge has
+    reached over a word's end if no token does, and else words are encoded
+    one by one. Texts that hold an added token, and texts of other tokenizers,
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -147,57 +139,108 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         pre = made.get("pre_tokenizer") or {}
-        self.by_word = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.added = [t["content"] for t in made.get("added_tokens", [])]
+        self.by_word = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.by_word = self.by_word and not any(" " in a for a in self.added)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a sign of a byte-level token is a byte
+        self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
+        model = made["model"]
+        unset = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        self.by_merges = model.get("type") == "BPE" and unset
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []  # parts of words, learnt just now, that are not kept
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Plain words by the library's merges alone, which is what it does with one match; the others in whole."""
-        tokenize, plain = self.tokenizer.model.tokenize, PLAIN.fullmatch
-        done = {p: array("I", [t.id for t in tokenize(p.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes() for p in pieces if plain(p)}
-        rest = [p for p in pieces if p not in done]
-        done.update(zip(rest, self._encode(rest)))
-        return done
-
-    def _learn(self, words: set[str]) -> None:
+    def _shared_out(self, ids: np.ndarray, words: list[str]) -> list[bytes] | None:
+        """The ids of words that follow each other, by word; None if a token reaches over a word's end."""
+        ends = np.cumsum(self.bytes_of[ids])
+        want = np.cumsum([len(w.encode()) for w in words])
+        upto = np.searchsorted(ends, want) + 1
+        if len(ends) < len(words) or upto[-1] != len(ends) or (ends[upto - 1] != want).any():
+            return None
+        raw, upto = ids.tobytes(), (4 * upto).tolist()
+        return [raw[a:b] for a, b in zip([0, *upto], upto)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that begin with a space and end with none: as one text, if no token reaches over a word's end."""
+        return self._shared_out(np.frombuffer(self._encode(["".join(words)])[0], "<u4"), words) or self._encode(words)
+
+    def _merge_words(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words without marks."""
+        tokenize, ids = self.tokenizer.model.tokenize, []
+        for at in range(0, len(words), JOINED_WORDS):
+            signs = "".join(words[at : at + JOINED_WORDS]).encode().decode("latin-1").translate(BYTE_SIGNS)
+            ids += [t.id for t in tokenize(signs)]
+        return self._shared_out(np.array(ids, "<u4"), words) or self._encode_words(words)
+
+    def _learn(self, words: list[str]) -> None:
         """Put the ids of new words into the young generation."""
-        young, old, plain = self.young, self.old, PLAIN.fullmatch
-        new = {w for w in words if plain(w)}
-        cut = [(w, pieces(w)) for w in words if w not in new]
-        for piece in {p for _, parts in cut for p in parts}:
-            if piece not in young:
-                if piece in old:
-                    young[piece] = old[piece]
-                else:
-                    new.add(piece)
-        young.update(self._encode_pieces(list(new)))
-        for word, parts in cut:
-            if len(parts) > 1:
-                young[word] = b"".join([young[p] for p in parts])
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.by_word or t.startswith(" ") or ACROSS.search(t) is not None or any(a in t for a in self.added) for t in texts]
-        out = [b""] * len(texts)
-        for i in (i for i, w in enumerate(whole) if w):
-            out[i] = self._encode([texts[i]])[0]
-        split = {i: texts[i].replace(" ", "\0 ").split("\0") if "\0" not in texts[i] else re.split("(?= )", texts[i]) for i, w in enumerate(whole) if not w}
+        young, old = self.young, self.old
+        plain = [(w, m) for w in words if (m := PLAIN.fullmatch(w))] if self.by_merges else []
+        cores = {m[1] for _, m in plain}
+        had = {c: x for c in cores if (x := young.get(c) or old.get(c))}
+        young.update(had)
+        new = [c for c in cores if c not in had]
+        for at in range(0, len(new), TEXT_WORDS):
+            part = new[at : at + TEXT_WORDS]
+            young.update(zip(part, self._merge_words(part)))
+        marks = {m[2] for _, m in plain if m[2]}
+        tails = dict(zip(marks, self._encode(list(marks))))
+        young.update((w, young[m[1]] + tails[m[2]]) for w, m in plain if m[2])
+        joined = [w for w in words if w[:1] == " " and not w[-1].isspace() and w not in young]
+        for at in range(0, len(joined), TEXT_WORDS):
+            part = joined[at : at + TEXT_WORDS]
+            young.update(zip(part, self._encode_words(part)))
+        rest = [w for w in words if w not in young]
+        young.update(zip(rest, self._encode(rest)))
+        self.long += [c for c in new if len(c) > KEPT_CHARS]
+
+    def _look_up(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that may be cut before their spaces; none holds the sign that stands for the cut."""
+        split = pc.split_pattern(pa.array([t.replace(" ", "\0 ") for t in texts], pa.large_string()), "\0")
+        known = split.flatten().dictionary_encode()
+        words = known.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        found = {i: list(map(young.get, words)) for i, words in split.items()}
-        fresh = {w for i, ids in found.items() if None in ids for w, x in zip(split[i], ids) if x is None}
+        found = list(map(young.get, words))
+        fresh = [w for w, x in zip(words, found) if x is None]
         if fresh:
             young.update((w, old[w]) for w in fresh if w in old)
-            self._learn({w for w in fresh if w not in young})
-        for i, ids in found.items():
-            out[i] = b"".join([young[w] if x is None else x for w, x in zip(split[i], ids)] if None in ids else ids)
-        for word in fresh:
-            if len(word) > KEPT_CHARS:
-                del young[word]
+            self._learn([w for w in fresh if w not in young])
+            found = [young[w] if x is None else x for w, x in zip(words, found)]
+        each = np.array(list(map(len, found))) // 4
+        place = np.cumsum(each) - each
+        word = known.indices.to_numpy()
+        n = each[word]
+        ends = np.append(0, np.cumsum(n))
+        raw = np.frombuffer(b"".join(found), "<u4")[np.repeat(place[word] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        at = (4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
+        for w in {*self.long, *(w for w in fresh if len(w) > KEPT_CHARS)}:
+            del young[w]
+        self.long = []
+        return [raw[a:b] for a, b in zip(at, at[1:])]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        out = [b""] * len(texts)
+        parts: list[list[int]] = [[]]
+        size = 0
+        for i, text in enumerate(texts):
+            if not self.by_word or text.startswith(" ") or "\0" in text or ACROSS.search(text) is not None or any(a in text for a in self.added):
+                out[i] = self._encode([text])[0]
+                continue
+            parts[-1].append(i)
+            size += len(text)
+            if size > PART_CHARS:
+                parts.append([])
+                size = 0
+        for part in filter(None, parts):
+            for i, ids in zip(part, self._look_up([texts[i] for i in part])):
+                out[i] = ids
         return out
 
 
@@ -216,8 +259,8 @@ def token_ids(documents: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokenizer(path), np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 ids = [np.frombuffer(x + end, "<u4") for x in encode([t or "" for t in part.column(1).to_pylist()])]
                 wide = [bool(x.max() > 0xFFFF) for x in ids]
                 yield pa.RecordBatch.from_arrays(
