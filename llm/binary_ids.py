@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,7 +40,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.bpe import ACROSS
 from llm.common import cut, dealt, discard, shared_path, table
 
 END_ID = 0
@@ -57,12 +55,19 @@ PLACE = np.arange(4, dtype=np.uint8)
 CACHE_WORDS = 700_000
 #: Longest word that is kept.
 KEPT_CHARS = 100
-#: Characters of texts that are looked up together, and new words that are encoded as one text.
-PART_CHARS, TEXT_WORDS = 4_000_000, 20_000
+#: Bytes of texts that are looked up together, and new words that are encoded as one text.
+PART_BYTES, TEXT_WORDS = 4_000_000, 20_000
 #: Plain words that go through the merges together: more than the library's own cache takes as one.
 JOINED_WORDS = 64
-#: Letters after a space, of scripts all versions of Unicode agree on, and marks: a match of the pattern, and another.
-PLAIN = re.compile("( [A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,;:!?]*)")
+#: A space and letters, of scripts all versions of Unicode agree on: one match of the pattern.
+PLAIN = "^ [A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+$"
+#: Words before and after which others may stand: from white space to something that is none for certain.
+JOINABLE = "(?s)^[ \t\n\r].*[!-~\xc0-\u024f]$"
+#: Kinds of bytes: 1 white space, 2 signs, 3 letters and digits, 0 any other.
+KIND = np.zeros(256, np.uint8)
+KIND[33:127] = 2
+KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 3
+KIND[[9, 10, 13, 32]] = 1
 
 
 def byte_signs() -> dict[int, str]:
@@ -75,15 +80,38 @@ def byte_signs() -> dict[int, str]:
 BYTE_SIGNS = byte_signs()
 
 
+def cuts(data: np.ndarray) -> np.ndarray:
+    """True for each byte of UTF-8 texts at which a match of the pattern begins, whatever the texts go on with.
+
+    That is white space after anything else, and an ASCII sign after a letter
+    or digit. Where a character might be white space, or no letter, there is no
+    cut, which does no harm.
+    """
+    kind = KIND[data]
+    before, here = kind[:-1], kind[1:]
+    out = np.zeros(len(data), bool)
+    out[1:] = (here == 1) & (before >= 2) | (here == 2) & (before == 3)
+    at = np.flatnonzero(((here == 1) | (here == 2)) & (data[:-1] >= 0x80)) + 1  # after a character of 2 to 4 bytes
+    d, c, b, a = (data[np.maximum(at - k, 0)] for k in (1, 2, 3, 4))
+    letter = (c >= 0xC3) & (c <= 0xC8) & ~((c == 0xC3) & ((d == 0x97) | (d == 0xB7)))  # U+00C0 to U+023F but two
+    solid = (c >= 0xC3) & (c <= 0xDF) | (b == 0xE0) | (b >= 0xE4) & (b <= 0xEF) | (a >= 0xF0)
+    solid |= (b == 0xE1) & (c >= 0xB4) | (b == 0xE3) & (c >= 0x81) | (b == 0xE2) & ((c >= 0x82) | (c == 0x80) & (d >= 0x90) & (d <= 0xA7))
+    out[at] = np.where(kind[at] == 1, solid, letter)
+    return out
+
+
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes."""
-    v = ranks.astype("<u4")
-    lengths = (1 + (v > 0xFF) + (v > 0xFFFF) + (v > 0xFFFFFF)).astype(np.uint8)
-    codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    codes[: len(v)] = lengths - 1
+    v, n = ranks.astype("<u4"), len(ranks)
+    most = max(1, -(-int(v.max(initial=0)).bit_length() // 8))  # bytes of the longest
+    used = np.ones((n, most), bool)
+    codes = np.zeros(-(-n // 4) * 4, np.uint8)
+    for k in range(1, most):
+        used[:, k] = v >> 8 * k > 0
+        codes[:n] += used[:, k]
     codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[lengths[:, None] > PLACE].tobytes()
+    return control.tobytes(), np.compress(used.ravel(), v.view(np.uint8).reshape(-1, 4)[:, :most].ravel()).tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -121,15 +149,14 @@ def read_file(raw: bytes) -> Iterator[tuple[int | None, int, np.ndarray]]:
 class Ids:
     """Ids of texts by the tokenizers library, as little-endian unsigned 32-bit integers.
 
-    A byte-level tokenizer without normaliser splits texts by its pattern, in
-    which a space after anything but white space begins a new match. So texts
-    are cut before their spaces, the words of many texts are looked up once
-    each, and new words are encoded by the library, many as one text, and
-    kept. Plain words need its merges alone. The bytes of a token tell where
-    words end among the ids; as tokens only grow by merges, no merge has
-    reached over a word's end if no token does, and else words are encoded
-    one by one. Texts that hold an added token, and texts of other tokenizers,
-    are encoded whole.
+    A byte-level tokenizer without normaliser splits texts by its pattern. So
+    texts are cut where a match begins for certain, all at once in their
+    bytes; the words of many texts are looked up once each, and new words are
+    encoded by the library, many as one text, and kept. Plain words need its
+    merges alone. The bytes of a token tell where words end among the ids; as
+    tokens only grow by merges, no merge has reached over a word's end if no
+    token does, and else words are encoded one by one. Texts that hold an
+    added token, and texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -141,7 +168,7 @@ class Ids:
         pre = made.get("pre_tokenizer") or {}
         self.added = [t["content"] for t in made.get("added_tokens", [])]
         self.by_word = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.by_word = self.by_word and not any(" " in a for a in self.added)
+        self.by_word = self.by_word and not any(a.split() != [a] for a in self.added)
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # a sign of a byte-level token is a byte
         self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
@@ -150,7 +177,6 @@ class Ids:
         self.by_merges = model.get("type") == "BPE" and unset
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.long: list[str] = []  # parts of words, learnt just now, that are not kept
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -158,7 +184,7 @@ class Ids:
     def _shared_out(self, ids: np.ndarray, words: list[str]) -> list[bytes] | None:
         """The ids of words that follow each other, by word; None if a token reaches over a word's end."""
         ends = np.cumsum(self.bytes_of[ids])
-        want = np.cumsum([len(w.encode()) for w in words])
+        want = np.cumsum(pc.binary_length(pa.array(words, pa.large_string())).to_numpy())
         upto = np.searchsorted(ends, want) + 1
         if len(ends) < len(words) or upto[-1] != len(ends) or (ends[upto - 1] != want).any():
             return None
@@ -166,82 +192,93 @@ class Ids:
         return [raw[a:b] for a, b in zip([0, *upto], upto)]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that begin with a space and end with none: as one text, if no token reaches over a word's end."""
+        """Ids of words that begin with white space and end with none: as one text, if no token reaches over a word's end."""
         return self._shared_out(np.frombuffer(self._encode(["".join(words)])[0], "<u4"), words) or self._encode(words)
 
     def _merge_words(self, words: list[str]) -> list[bytes]:
-        """Ids of plain words without marks."""
+        """Ids of plain words."""
         tokenize, ids = self.tokenizer.model.tokenize, []
         for at in range(0, len(words), JOINED_WORDS):
             signs = "".join(words[at : at + JOINED_WORDS]).encode().decode("latin-1").translate(BYTE_SIGNS)
             ids += [t.id for t in tokenize(signs)]
         return self._shared_out(np.array(ids, "<u4"), words) or self._encode_words(words)
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of new words into the young generation."""
-        young, old = self.young, self.old
-        plain = [(w, m) for w in words if (m := PLAIN.fullmatch(w))] if self.by_merges else []
-        cores = {m[1] for _, m in plain}
-        had = {c: x for c in cores if (x := young.get(c) or old.get(c))}
-        young.update(had)
-        new = [c for c in cores if c not in had]
-        for at in range(0, len(new), TEXT_WORDS):
-            part = new[at : at + TEXT_WORDS]
-            young.update(zip(part, self._merge_words(part)))
-        marks = {m[2] for _, m in plain if m[2]}
-        tails = dict(zip(marks, self._encode(list(marks))))
-        young.update((w, young[m[1]] + tails[m[2]]) for w, m in plain if m[2])
-        joined = [w for w in words if w[:1] == " " and not w[-1].isspace() and w not in young]
-        for at in range(0, len(joined), TEXT_WORDS):
-            part = joined[at : at + TEXT_WORDS]
-            young.update(zip(part, self._encode_words(part)))
-        rest = [w for w in words if w not in young]
-        young.update(zip(rest, self._encode(rest)))
-        self.long += [c for c in new if len(c) > KEPT_CHARS]
-
-    def _look_up(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts that may be cut before their spaces; none holds the sign that stands for the cut."""
-        split = pc.split_pattern(pa.array([t.replace(" ", "\0 ") for t in texts], pa.large_string()), "\0")
-        known = split.flatten().dictionary_encode()
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """Ids of new words."""
+        column, left, out = pa.array(words, pa.large_string()), np.ones(len(words), bool), [b""] * len(words)
+        for pattern, encode in ((PLAIN, self._merge_words), (JOINABLE, self._encode_words)):
+            if pattern is PLAIN and not self.by_merges:
+                continue
+            fit = left & pc.match_substring_regex(column, pattern).to_numpy(zero_copy_only=False)
+            left &= ~fit
+            rows = np.flatnonzero(fit).tolist()
+            for at in range(0, len(rows), TEXT_WORDS):
+                part = rows[at : at + TEXT_WORDS]
+                for i, x in zip(part, encode([words[i] for i in part])):
+                    out[i] = x
+        rows = np.flatnonzero(left).tolist()
+        for i, x in zip(rows, self._encode([words[i] for i in rows])):
+            out[i] = x
+        return out
+
+    def _look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that may be cut, one after another, and where each text's end."""
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if offsets[0] == offsets[-1]:
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        begins = cuts(data)
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        places = np.append(np.flatnonzero(begins), len(data))
+        known = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data)).dictionary_encode()
         words = known.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        found = list(map(young.get, words))
-        fresh = [w for w, x in zip(words, found) if x is None]
+        found = list(map(self.young.get, words))
+        fresh = [i for i, x in enumerate(found) if x is None]
         if fresh:
-            young.update((w, old[w]) for w in fresh if w in old)
-            self._learn([w for w in fresh if w not in young])
-            found = [young[w] if x is None else x for w, x in zip(words, found)]
-        each = np.array(list(map(len, found))) // 4
-        place = np.cumsum(each) - each
+            new = [words[i] for i in fresh]
+            ids = list(map(self.old.get, new))
+            rows = [i for i, x in enumerate(ids) if x is None]
+            for i, x in zip(rows, self._learn([new[i] for i in rows])):
+                ids[i] = x
+            for i, x in zip(fresh, ids):
+                found[i] = x
+            self.young.update(zip(new, ids))
+            for w in [w for w in new if len(w) > KEPT_CHARS]:
+                del self.young[w]
+        each = np.fromiter(map(len, found), np.int64, len(found)) // 4
         word = known.indices.to_numpy()
         n = each[word]
         ends = np.append(0, np.cumsum(n))
-        raw = np.frombuffer(b"".join(found), "<u4")[np.repeat(place[word] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
-        at = (4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]).tolist()
-        for w in {*self.long, *(w for w in fresh if len(w) > KEPT_CHARS)}:
-            del young[w]
-        self.long = []
-        return [raw[a:b] for a, b in zip(at, at[1:])]
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat((np.cumsum(each) - each)[word] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(places, offsets[1:])]
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Texts (none null), ids of these, one after another, and where each text's end, for some texts at a time."""
+        sizes, at = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)), 0
+        while at < len(texts):
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PART_BYTES, "right")))
+            part = texts.slice(at, upto - at)
+            whole = np.full(len(part), not self.by_word)
+            for a in self.added if self.by_word else []:
+                whole |= pc.match_substring(part, a).to_numpy(zero_copy_only=False)
+            if not whole.any():
+                ids, ends = self._look_up(part)
+            else:
+                ids, ends = self._look_up(pc.if_else(pa.array(whole), "", part))
+                each = np.split(ids, ends[:-1])
+                rows = np.flatnonzero(whole)
+                for i, x in zip(rows.tolist(), self._encode(part.take(pa.array(rows)).to_pylist())):
+                    each[i] = np.frombuffer(x, "<u4")
+                ids, ends = np.concatenate(each), np.cumsum(list(map(len, each)))
+            yield len(part), ids, ends
+            at = upto
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out = [b""] * len(texts)
-        parts: list[list[int]] = [[]]
-        size = 0
-        for i, text in enumerate(texts):
-            if not self.by_word or text.startswith(" ") or "\0" in text or ACROSS.search(text) is not None or any(a in text for a in self.added):
-                out[i] = self._encode([text])[0]
-                continue
-            parts[-1].append(i)
-            size += len(text)
-            if size > PART_CHARS:
-                parts.append([])
-                size = 0
-        for part in filter(None, parts):
-            for i, ids in zip(part, self._look_up([texts[i] for i in part])):
-                out[i] = ids
-        return out
+        return [x.tobytes() for _, ids, ends in self.parts(pa.array(texts, pa.large_string())) for x in np.split(ids, ends[:-1])]
 
 
 _tokenizers: dict[str, Ids] = {}
@@ -257,15 +294,15 @@ def token_ids(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, wide, ids): ids with the end id, in 2 bytes each, or in 4 if one needs it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokenizer(path), np.array([END_ID], "<u4").tobytes()
+        encode = tokenizer(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                ids = [np.frombuffer(x + end, "<u4") for x in encode([t or "" for t in part.column(1).to_pylist()])]
-                wide = [bool(x.max() > 0xFFFF) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(wide, pa.bool_()), pa.array([x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide)], pa.binary())], ["doc_id", "wide", "ids"]
-                )
+            at = 0
+            for n, ids, ends in encode.parts(pc.fill_null(batch.column(1), "")):
+                flat, ends = np.insert(ids, ends, END_ID), ends + np.arange(1, n + 1)
+                wide = np.maximum.reduceat(flat, np.append(0, ends[:-1])) > 0xFFFF
+                raw = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(np.split(flat, ends[:-1]), wide)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(wide), pa.array(raw, pa.binary())], ["doc_id", "wide", "ids"])
+                at += n
 
     return dealt(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, wide boolean, ids binary")
 
